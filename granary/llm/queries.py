@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, sharding, warc
-from .common import table
+from . import bpe, language, packing, sharding, toxicity, warc
+from .common import held_out, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's probability of being toxic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each piece of each document in sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN)
@@ -43,6 +50,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_best_fit_packing, op4_byte_bpe, op9_warc)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs)
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_best_fit_packing, op4_byte_bpe, op9_warc, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, packing, sharding, toxicity, warc
+from . import bpe, jaccard, language, packing, sharding, toxicity, warc
 from .common import held_out, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -45,6 +45,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class and number of links: five words, similarity of 0.8 or more."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives of all pages hold when they are read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -57,6 +62,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_best_fit_packing, op4_byte_bpe, op9_warc, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_best_fit_packing, op4_byte_bpe, op6_ngram_jaccard_join, op9_warc, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, language, packing, sharding, toxicity, warc
+from . import ann, bpe, jaccard, language, packing, sharding, topk, toxicity, urlfilter, warc
 from .common import held_out, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -45,11 +45,39 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+RULES = [
+    urlfilter.Rule("net", "/", "block"),
+    urlfilter.Rule("example.net", "/en/", "allow"),
+    urlfilter.Rule("example.com", "/de/", "block"),
+    urlfilter.Rule("org", "/fr/", "allow"),
+]
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's host, path, rule and verdict. A page's label is that of the document whose number its path ends with;
+    low quality and toxic ones are bad."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    _, path = urlfilter.parsed(F.col("url"))
+    numbered = pages.select("page_id", F.regexp_extract(path, "([0-9]+)[^0-9/]*/?$", 1).try_cast("long").alias("doc_id"))
+    marks = table(spark, sf_dir, "labels").select("doc_id", F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
+    return urlfilter.judge(pages, numbered.join(marks, "doc_id").select("page_id", "bad"), RULES)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's class and number of links: five words, similarity of 0.8 or more."""
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found to every fiftieth."""
+    return ann.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op8_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every hundredth."""
+    return topk.search(table(spark, sf_dir, "documents"), every=100, k=10)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives of all pages hold when they are read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -62,6 +90,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_best_fit_packing, op4_byte_bpe, op6_ngram_jaccard_join, op9_warc, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding,
+        op2_toxicity,
+        op3_best_fit_packing,
+        op4_byte_bpe,
+        op5_url_filters,
+        op6_ngram_jaccard_join,
+        op7_nearest_neighbours,
+        op8_bm25_topk,
+        op9_warc,
+        op10_language_id,
+    )
+}
 
+#: None of these is plain SQL over the tables; tests/llm holds each against a brute-force version.
 ORACLE_SQL: dict[str, str] = {}

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -74,7 +76,12 @@ def judged(pages: DataFrame, tree: Tree) -> DataFrame:
     kinds = pages.select("host", "bad", *(c.alias(t) for c, t in zip(template(F.col("path"), tree.depth), levels)))
     kinds = kinds.withColumn("kind", F.concat_ws("/", *levels))
     nodes = kinds.groupBy("host", "kind", *levels).agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
+    # a row per host and kind of path is little; as a table of its own it keeps every level's plan short
+    nodes = staged(nodes, "kinds")
+    used = nodes.agg(*(F.max(F.col(t) != "").alias(t) for t in levels)).first()
     for i, level in enumerate(levels):
+        if not used[level]:
+            break
         above = ["host", *levels[:i]]
         branch = nodes.groupBy(*above, level).agg(F.sum("n").alias("bn"), F.sum("b").alias("bb"))
         parent = branch.groupBy(*above).agg(F.count(F.lit(1)).alias("values"), F.sum("bn").alias("pn"), F.sum("bb").alias("pb"))
@@ -85,7 +92,7 @@ def judged(pages: DataFrame, tree: Tree) -> DataFrame:
         new = F.when(F.col("values") > tree.fanout, "*").when(alike, "~").otherwise(F.col(level))
         # a branch's new name, found by the branch and put on all kinds below it
         named = branch.join(parent, above).select(*above, level, F.when(ended, "").otherwise(new).alias("new"))
-        nodes = nodes.join(named, [*above, level]).drop(level).withColumnRenamed("new", level)
+        nodes = staged(nodes.join(named, [*above, level]).drop(level).withColumnRenamed("new", level), "kinds")
     leaf = nodes.groupBy("host", *levels).agg(F.sum("n").alias("ln"), F.sum("b").alias("lb"))
     hosts = leaf.groupBy("host").agg(F.sum("ln").alias("hn"), F.sum("lb").alias("hb"))
     everything = hosts.agg(F.sum("hn").alias("an"), F.sum("hb").alias("ab"))  # one row
@@ -94,7 +101,8 @@ def judged(pages: DataFrame, tree: Tree) -> DataFrame:
     by_host = (F.col("hb") + m * prior) / (F.col("hn") + m)
     by_leaf = (F.col("lb") + m * by_host) / (F.col("ln") + m)
     pure = leaf.join(hosts, "host").crossJoin(F.broadcast(everything)).withColumn("rejected", 1 - by_leaf < tree.purity)
-    return nodes.join(pure.filter("rejected").select("host", *levels), ["host", *levels]).select("host", "kind", F.lit(True).alias("rejected"))
+    refused = nodes.join(pure.filter("rejected").select("host", *levels), ["host", *levels])
+    return refused.select("host", "kind", F.lit(True).alias("rejected"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], tree: Tree = Tree()) -> DataFrame:

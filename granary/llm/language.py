@@ -31,6 +31,7 @@ LEARN_ROWS = 300
 #: Words of the training chains.
 LEARN_WORDS = 400_000
 CHAIN = 64
+LEAST_STEPS = 60
 SIZE = 1 << 18
 LEXICON = 300
 UNKNOWN = "und"
@@ -119,9 +120,9 @@ def forward_backward(scores: np.ndarray, change: np.ndarray, start: np.ndarray,
     e = np.ones((runs * steps, k))
     e[:n] = np.exp(scores - scores.max(1, keepdims=True))
     e = np.maximum(e, 1e-30).reshape(runs, steps, k)
-    begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    begins = np.concatenate(([0], np.cumsum(lengths)))  # what fills the last run begins a chain of its own
     new: list[list[int]] = [[] for _ in range(steps)]
-    for b in begins.tolist():
+    for b in begins[begins < runs * steps].tolist():
         new[b % steps].append(b // steps)
     move, first = np.exp(change), np.exp(start)
 
@@ -170,7 +171,7 @@ def chains(texts: list[tuple[str, str]], seed: int) -> tuple[list[str], np.ndarr
         pools.setdefault(texts[i][0], []).extend(words(texts[i][1]))
     pools = {k: v for k, v in sorted(pools.items()) if v}
     names, seen, labels = list(pools), [], []
-    room = min(LEARN_WORDS, max(CHAIN, sum(map(len, pools.values()))))
+    room = min(LEARN_WORDS, max(64 * CHAIN * len(names), sum(map(len, pools.values()))))
     while len(seen) < room:
         k = int(rng.integers(len(names)))
         pool, n = pools[names[k]], int(rng.integers(4, 120))
@@ -206,6 +207,7 @@ def fit(texts: list[tuple[str, str]], passes: int = 3, rate: float = 0.3, seed:
     found, member = found[sort], np.array([lexicon.get(w, size) for w in unique])
     del order
     rng, batch = np.random.default_rng(seed), 256
+    passes = max(passes, -(-LEAST_STEPS * batch // max(len(seen) // CHAIN, batch)))
     squares = [np.full(x.shape, 1e-2) for x in (model.weights, model.typical, model.change, model.start)]
     codes, labels = codes.reshape(-1, CHAIN), labels.reshape(-1, CHAIN)
     for _ in range(passes):
@@ -266,8 +268,10 @@ def learn(docs: DataFrame, learn_rows: int = LEARN_ROWS) -> Model:
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of `docs` with `lang_pred` and `score`, from whole texts.
 
-    Texts that are null, empty or without a letter are `und` with score 0. Equal texts get equal answers.
+    Texts that are null, empty or without a letter are `und` with score 0. Equal texts get the same language. Columns
+    that are named like the results are replaced; no rows give no rows.
     """
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

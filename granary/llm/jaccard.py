@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import staged
+from .common import fresh, staged
 from .components import components
 
 #: Sets in a block, about.
@@ -235,5 +235,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
 
     Of equal rows one stays. Rows without a key, and rows that share the class's key but not all columns, all stay.
     """
-    kept = join(docs, key, **options).filter(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates()
+    (name,) = fresh(docs, "kept")
+    kept = join(docs, key, **options).filter(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias(name)).distinct()
+    return docs.join(kept, F.col(key).eqNullSafe(F.col(name)), "left_semi").dropDuplicates()

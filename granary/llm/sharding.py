@@ -26,8 +26,10 @@ def shard(docs: DataFrame, shards: int, seed: int = 17, text: str = "text", buck
     `docs` must be a table on disk (or read back from one): a record's number is its place in the files, so a lost
     task that runs again scatters its records as before. Records are never told apart by their values, so copies,
     repeated rows and null keys spread like all others. A null text takes no room. No rows give no rows; with fewer
-    rows than shards some shards are empty. Columns that the operator needs for itself get other names if taken.
+    rows than shards some shards are empty. A column that is named like a result is replaced, and columns that the
+    operator needs for itself get other names if taken.
     """
+    docs = docs.drop("shard", "slot")
     number, bucket, record, records, at, first, total, rows = fresh(docs, "number", "bucket", "record", "records", "at", "first", "total", "rows")
     held, size = docs.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 16)).first()
     buckets = max(LEAST_BUCKETS, -(-(size or 0) // bucket_bytes))

@@ -37,7 +37,8 @@ LEAST_EVIDENCE = 25.0
 DISCOUNT = 0.75
 #: Lengths of stems; a word has those that are shorter than itself.
 STEMS = (7, 6, 5, 4)
-SEEN_LIMIT = 500_000
+#: Distinct words that a worker remembers.
+SEEN_LIMIT = 200_000
 
 find_words = re.compile(r"[^\W_]+").findall
 
@@ -226,7 +227,9 @@ def ratios(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of `docs` with `score`. Whole texts are scored; null counts as empty; equal texts score alike."""
+    """All columns of `docs` with `score`, which replaces a column of that name. Whole texts are scored; null counts as
+    empty; equal texts score alike; no rows give no rows."""
+    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 

@@ -10,6 +10,7 @@ shards' best k is exact.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -24,13 +25,17 @@ from . import bpe
 from .common import staged
 
 K1, B = 1.2, 0.75
-#: Documents, and characters, in a shard at most (a longer document is a shard of its own).
-SHARD, SHARD_CHARS = 4096, 24_000_000
+#: Documents, and characters, in a shard at most, but for what one slice of texts holds.
+SHARD, SHARD_CHARS = 4096, 20_000_000
 BLOCK = 64
+#: Neighbouring blocks that are scored together.
+GROUP = 8
 #: Queries, and their distinct terms, that are answered at a time.
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 4096
+#: Common terms by which documents are put in order.
+LEADING = 64
 #: A term in more than this part of a shard's documents is kept as a row over all of them.
-COMMON = 1 / 48
+COMMON = 1 / 24
 
 find_words = re.compile(r"[^\W_]+").findall
 SCHEMA = "ids binary, lengths binary, terms binary, ends binary, posts binary, times binary, n long, words long"
@@ -49,36 +54,51 @@ def term_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return both // len(unique), hashes[both % len(unique)], times, lengths
 
 
-def build(ids: list, texts: list[str]) -> dict:
-    """The index of a shard."""
-    owner, term, times, lengths = term_counts(texts)
-    order = np.lexsort((owner, term))
+def build(ids: list, parts: list[tuple]) -> dict:
+    """The index of a shard from the term counts of runs of its documents."""
+    first = np.cumsum([0, *(len(p[3]) for p in parts)])
+    owner = np.concatenate([p[0] + at for p, at in zip(parts, first)]).astype(np.int32)
+    term, times, lengths = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+    order = np.argsort(term, kind="stable")  # documents stay in their order within a term
     terms, starts = np.unique(term[order], return_index=True)
     columns = {"ids": np.array(ids, "<i8"), "lengths": lengths, "terms": terms, "ends": np.append(starts, len(term)), "posts": owner[order], "times": times[order]}
     return {k: v.astype(TYPES[k]).tobytes() for k, v in columns.items()} | {"n": len(ids), "words": int(lengths.sum())}
 
 
 def index(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A row per shard; shards are made within tasks, without a shuffle."""
+    """A row per shard; shards are made within tasks, without a shuffle, from the counts of one slice of texts after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size = [], [], 0
+        ids, parts, size = [], [], 0
         for batch in batches:
-            for part, more in bpe.sliced(batch, "_text"):
-                for i, t in zip(part.column(0).to_pylist(), more):
-                    if texts and (len(texts) >= SHARD or size + len(t) > SHARD_CHARS):
-                        yield pa.RecordBatch.from_pylist([build(ids, texts)], schema)
-                        ids, texts, size = [], [], 0
-                    ids.append(i)
-                    texts.append(t)
-                    size += len(t)
-        if texts:
-            yield pa.RecordBatch.from_pylist([build(ids, texts)], schema)
+            for part, texts in bpe.sliced(batch, "_text"):
+                chars = sum(map(len, texts))
+                if ids and (len(ids) + len(texts) > SHARD or size + chars > SHARD_CHARS):
+                    yield pa.RecordBatch.from_pylist([build(ids, parts)], schema)
+                    ids, parts, size = [], [], 0
+                ids += part.column(0).to_pylist()
+                parts.append(term_counts(texts))
+                size += chars
+        if ids:
+            yield pa.RecordBatch.from_pylist([build(ids, parts)], schema)
 
     schema = pa.schema([(c.split()[0], pa.binary() if "binary" in c else pa.int64()) for c in SCHEMA.split(", ")])
     return docs.select(docs[key].cast("long").alias("_id"), docs[text].alias("_text")).filter("_id is not null").mapInArrow(run, SCHEMA)
 
 
+def asked_terms(asked: DataFrame) -> DataFrame:
+    """query_id with the distinct terms of the query's whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in bpe.sliced(batch, "text"):
+                owner, term, _, lengths = term_counts(texts)
+                held = np.split(term, np.searchsorted(owner, np.arange(1, len(lengths))))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in held], pa.binary())], ["query_id", "terms"])
+
+    return asked.select("query_id", "text").mapInArrow(run, "query_id long, terms binary")
+
+
 class Shard:
     """A shard's index, opened for a block of queries: `weights` are the idf of the block's distinct `terms`."""
 
@@ -96,79 +116,111 @@ class Shard:
         length = K1 * (1 - B + B * held["lengths"] / mean) if mean else np.full(n, K1)
         gain = np.repeat(weights[here], count) * times * (K1 + 1) / (times + length[doc])
         common = count > max(BLOCK / 2, n * COMMON)
+        mark = np.repeat(common, count)
         self.row = np.full(len(terms), -1)  # of a common term in `dense`
         self.row[here[common]] = np.arange(common.sum())
-        mark = np.repeat(common, count)
-        dense = np.zeros((int(common.sum()), n))
-        dense[np.repeat(np.arange(common.sum()), count[common]), doc[mark]] = gain[mark]
-        order = self._order(dense)
+        row, at_doc, worth = np.repeat(np.arange(common.sum()), count[common]), doc[mark], gain[mark]
+        order = self._order(row, at_doc, worth, count[common], n)
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         self.ids, self.n, self.blocks = self.ids[order], n, -(-n // BLOCK)
-        self.dense = np.zeros((len(dense), self.blocks * BLOCK))
-        self.dense[:, :n] = dense[:, order]
-        self.most = self.dense.reshape(len(dense), self.blocks, BLOCK).max(2)
+        self.dense = np.zeros((int(common.sum()), self.blocks * BLOCK))
+        self.dense[row, place[at_doc]] = worth
+        self.groups = -(-self.blocks // GROUP)
+        # the largest score of each common term in each block, and of each rare term in each group of blocks
+        self.most = self.dense.reshape(len(self.dense), self.blocks, BLOCK).max(2)
         self.rare = np.full(len(terms), -1)
         self.rare[here[~common]] = np.arange((~common).sum())
-        self.rare_ends = np.concatenate(([0], np.cumsum(count[~common])))
-        self.rare_doc, self.rare_gain = place[doc[~mark]], gain[~mark]
+        self.size = int((~common).sum())
+        spot, slot = place[doc[~mark]], np.repeat(np.arange(self.size), count[~common])
+        group = spot // (GROUP * BLOCK)
+        order = np.argsort(group.astype(np.uint16), kind="stable")  # by group, and by term within it
+        self.rare_doc, self.rare_gain = spot[order], gain[~mark][order]
+        self.rare_count = np.bincount(group * self.size + slot, minlength=self.groups * self.size)
+        self.rare_start = np.cumsum(self.rare_count) - self.rare_count
+        self.rare_most = np.zeros(self.groups * self.size)
+        some = self.rare_count > 0
+        if some.any():
+            self.rare_most[some] = np.maximum.reduceat(self.rare_gain, self.rare_start[some])
 
     @staticmethod
-    def _order(dense: np.ndarray) -> np.ndarray:
-        """Documents by their part in the main direction of the common terms: those of one language come together."""
-        if not len(dense):
-            return np.arange(dense.shape[1])
-        x = np.cos(np.arange(dense.shape[1]))
-        centred = dense - dense.mean(1, keepdims=True)
-        for _ in range(4):
-            x = centred.T @ (centred @ x)
+    def _order(row: np.ndarray, doc: np.ndarray, gain: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+        """Documents by their part in the main direction of the commonest terms: those of one language come together."""
+        slot = np.full(len(count), -1)
+        lead = np.argsort(-count, kind="stable")[:LEADING]
+        slot[lead] = np.arange(len(lead))
+        mark = slot[row] >= 0
+        small = np.zeros((len(lead), n))
+        small[slot[row[mark]], doc[mark]] = gain[mark]
+        small -= small.mean(1, keepdims=True)
+        x = np.cos(np.arange(n))
+        for _ in range(4 if len(lead) else 0):
+            x = small.T @ (small @ x)
             x /= np.linalg.norm(x) or 1
         return np.argsort(x, kind="stable")
 
-    def search(self, queries: list[np.ndarray], k: int) -> list[tuple[int, int, float]]:
-        """(query, id, score) of the k best documents of each query; a query is its places in `terms`."""
-        m = len(queries)
+    def search(self, queries: list[np.ndarray], best: np.ndarray, names: np.ndarray, floor: np.ndarray) -> None:
+        """Puts documents that belong there into the queries' k best: scores in `best`, worst last, ids in `names`, -1
+        where there is none. A query is its places in `terms`; a score below its `floor` is not wanted."""
+        m, k = best.shape
         size = [len(q) for q in queries]
-        flat, owner = (np.concatenate(queries), np.repeat(np.arange(m), size)) if m else (np.zeros(0, int), np.zeros(0, int))
+        flat, owner = np.concatenate(queries), np.repeat(np.arange(m), size)
         weight = np.zeros((m, len(self.dense)))
         row = self.row[flat]
         weight[owner[row >= 0], row[row >= 0]] = 1
-        # what rare terms add, as (query, document) entries in the order of the documents' blocks
         held = self.rare[flat]
         who, slot = owner[held >= 0], held[held >= 0]
-        count = self.rare_ends[slot + 1] - self.rare_ends[slot]
-        at = np.repeat(self.rare_ends[slot] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()) if len(slot) else np.zeros(0, int)
-        who, doc, gain = np.repeat(who, count), self.rare_doc[at], self.rare_gain[at]
-        order = np.argsort(doc // BLOCK, kind="stable")
-        who, doc, gain = who[order], doc[order], gain[order]
-        cut = np.searchsorted(doc // BLOCK, np.arange(self.blocks + 1))
-        bound = weight @ self.most  # (query, block)
-        bound += np.bincount(who * self.blocks + doc // BLOCK, gain, m * self.blocks).reshape(m, self.blocks)
-        best, best_id = np.zeros((m, k)), np.full((m, k), -1, np.int64)  # worst last; -1: none yet
-        order = np.argsort(-bound.max(0, initial=0), kind="stable")
-        leading = bound.argmax(1) if m else np.zeros(0, int)
-        for b, ask in [(b, np.flatnonzero(leading == b)) for b in np.unique(leading)] + [(b, None) for b in order]:
-            if ask is None:
-                floor = np.where(best_id[:, -1] >= 0, best[:, -1], 0)
-                ask = np.flatnonzero((bound[:, b] >= floor - 1e-7) & (bound[:, b] > 0) & (leading != b))
+        starts = np.arange(0, self.blocks, GROUP)
+        bound = np.maximum.reduceat(weight @ self.most, starts, axis=1)  # (query, group of blocks)
+        for b in range(self.groups):
+            bound[:, b] += np.bincount(who, self.rare_most[b * self.size + slot], m)
+        leading = bound.argmax(1)  # each query's most promising group first, which raises its threshold
+        rest = np.argsort(-bound.max(0), kind="stable")
+        for b, ask in [(b, np.flatnonzero(leading == b)) for b in np.unique(leading)] + [(b, None) for b in rest]:
+            least = np.maximum(floor, np.where(names[:, -1] >= 0, best[:, -1], 0))
+            hopeful = (bound[:, b] >= least - 1e-7) & (bound[:, b] > 0)
+            ask = ask[hopeful[ask]] if ask is not None else np.flatnonzero(hopeful & (leading != b))
             if not len(ask):
                 continue
-            docs = slice(b * BLOCK, min((b + 1) * BLOCK, self.n))
-            score = weight[ask] @ self.dense[:, docs]
+            first, last = starts[b], min(starts[b] + GROUP, self.blocks)
+            docs = slice(first * BLOCK, min(last * BLOCK, self.n))
+            # rows of most queries are cheaper to multiply than to copy
+            score = (weight @ self.dense[:, docs])[ask] if 2 * len(ask) > m else weight[ask] @ self.dense[:, docs]
             local = np.full(m, -1)
             local[ask] = np.arange(len(ask))
-            mine = slice(cut[b], cut[b + 1])
-            mark = local[who[mine]] >= 0
-            np.add.at(score, (local[who[mine]][mark], doc[mine][mark] - docs.start), gain[mine][mark])
+            place = b * self.size + slot
+            mark = np.flatnonzero((local[who] >= 0) & (self.rare_count[place] > 0))
+            place, count = place[mark], self.rare_count[place[mark]]
+            at = np.repeat(self.rare_start[place] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            width = docs.stop - docs.start
+            entry = np.repeat(local[who[mark]] * width - docs.start, count) + self.rare_doc[at]
+            score += np.bincount(entry, self.rare_gain[at], score.size).reshape(score.shape)
             score = np.round(score, 9)
+            better = np.flatnonzero(((score > 0) & (score >= least[ask, None] - 1e-7)).any(1))
+            if not len(better):
+                continue
+            ask, score = ask[better], score[better]
             score[score <= 0] = -1
-            scores = np.concatenate([np.where(best_id[ask] >= 0, best[ask], -1), score], 1)
-            names = np.concatenate([best_id[ask], np.broadcast_to(self.ids[docs], score.shape)], 1)
-            first = np.lexsort((names, -scores), axis=1)[:, :k]
-            best[ask] = np.take_along_axis(scores, first, 1)
-            best_id[ask] = np.where(best[ask] > 0, np.take_along_axis(names, first, 1), -1)
-        q, r = np.nonzero(best_id >= 0)
-        return list(zip(q.tolist(), best_id[q, r].tolist(), best[q, r].tolist()))
+            scores = np.concatenate([np.where(names[ask] >= 0, best[ask], -1), score], 1)
+            found = np.concatenate([names[ask], np.broadcast_to(self.ids[docs], score.shape)], 1)
+            kept = np.lexsort((found, -scores), axis=1)[:, :k]
+            best[ask] = np.take_along_axis(scores, kept, 1)
+            names[ask] = np.where(best[ask] > 0, np.take_along_axis(found, kept, 1), -1)
+
+
+def searcher(whole, mean: float, k: int):
+    """Answers a block of queries on the shards of a task; each shard's best are the next one's thresholds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, weights, queries, names, floor = whole.value
+        best, found = np.zeros((len(queries), k)), np.full((len(queries), k), -1, np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows if queries else 0):
+                Shard({c: batch.column(c)[i].as_py() for c in batch.schema.names}, terms, weights, mean).search(queries, best, found, floor)
+        q, r = np.nonzero((found >= 0) & (best >= floor[:, None] - 1e-7))
+        yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.int64()), pa.array(found[q, r], pa.int64()), pa.array(best[q, r], pa.float64())], ["query_id", "doc_id", "score"])
+
+    return run
 
 
 def search(docs: DataFrame, every: int, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,15 +235,16 @@ def search(docs: DataFrame, every: int, k: int = 10, key: str = "doc_id", text:
     shards = staged(index(docs, key, text), "shards")
     n, words = shards.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     mean = words / n if n else 0.0
+    first = F.pmod(F.xxhash64("ids"), F.lit(max(1, math.isqrt(shards.count())))) == 0  # about the root of their number
     asked = docs.select(F.col(key).cast("long").alias("query_id"), F.col(text).alias("text")).filter(F.col("query_id") % every == 0)
-    asked = staged(asked.groupBy("query_id").agg(F.min("text").alias("text")).filter("text is not null"), "queries")
+    asked = staged(asked_terms(asked.groupBy("query_id").agg(F.min("text").alias("text")).filter("text is not null")), "queries")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     found = None
     for block in range(blocks):  # a block of queries is bounded, whatever their number
         mine = asked.filter(F.pmod(F.xxhash64(F.lit(41), "query_id"), F.lit(blocks)) == block).toPandas()
-        owner, term, _, _ = term_counts(mine["text"].tolist())
-        terms, place = np.unique(term, return_inverse=True)
-        queries = np.split(place, np.searchsorted(owner, np.arange(1, len(mine)))) if len(mine) else []
+        held = [np.frombuffer(x, np.uint64) for x in mine["terms"]]
+        terms, place = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_inverse=True)
+        queries = np.split(place, np.cumsum([len(x) for x in held])[:-1]) if held else []
         names = mine["query_id"].to_numpy(np.int64)
         shared = spark.sparkContext.broadcast(terms)
 
@@ -211,18 +264,18 @@ def search(docs: DataFrame, every: int, k: int = 10, key: str = "doc_id", text:
         held = np.zeros(len(terms))
         held[counted["term"].to_numpy(np.int64)] = counted["n"]
         weights = np.log1p((n - held + 0.5) / (held + 0.5))
-        whole = spark.sparkContext.broadcast((terms, weights, queries, names))
-
-        def run(batches: Iterator[pa.RecordBatch], whole=whole) -> Iterator[pa.RecordBatch]:
-            terms, weights, queries, names = whole.value
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    hits = Shard(batch.slice(i, 1).to_pylist()[0], terms, weights, mean).search(queries, k)
-                    q, d, s = (np.array(x) for x in zip(*hits)) if hits else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-                    yield pa.RecordBatch.from_arrays([pa.array(names[q.astype(int)], pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.float64())], ["query_id", "doc_id", "score"])
-
-        part = shards.mapInArrow(run, "query_id long, doc_id long, score double")
-        part = staged(part, "hits") if blocks > 1 else part
+        hits = "query_id long, doc_id long, score double"
+        floor = np.zeros(len(names))
+        whole = spark.sparkContext.broadcast((terms, weights, queries, names, floor))
+        early = staged(shards.filter(first).mapInArrow(searcher(whole, mean, k), hits), "hits")
+        # what the first shards' k-th best scores already say, no other shard need beat again
+        reached = early.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).filter(F.size("s") >= k)
+        reached = reached.select("query_id", F.element_at("s", k).alias("least")).toPandas()  # a number per query of the block
+        order = np.argsort(names)
+        floor[order[np.searchsorted(names[order], reached["query_id"].to_numpy(np.int64))]] = reached["least"]
+        whole = spark.sparkContext.broadcast((terms, weights, queries, names, floor))
+        late = staged(shards.filter(~first).mapInArrow(searcher(whole, mean, k), hits), "hits")
+        part = early.unionAll(late)
         found = part if found is None else found.unionAll(part)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

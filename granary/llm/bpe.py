@@ -16,6 +16,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,7 @@ def byte_characters() -> list[str]:
 
 #: From a byte, as the character of its number, to the character that stands for it.
 CHARACTERS = dict(enumerate(byte_characters()))
+SPACE = CHARACTERS[ord(" ")]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -92,33 +94,23 @@ class Encoder:
         if pattern != BYTE_LEVEL:
             raise ValueError("matches are found for the pattern of byte-level BPE only")
         self.tokenizer, self.find = tokenizer, plain_pattern().findall
-        vocab = tokenizer.get_vocab(with_added_tokens=True)
-        space = byte_characters()[ord(" ")]
-        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
-        self.spaced[[i for token, i in vocab.items() if token.startswith(space)]] = True
         self.memo: dict[str, bytes] = {}
 
     def _learn(self, pieces: set[str]) -> None:
-        """Encodes matches not seen yet. Words with a space before them are told apart in one running text as well."""
-        memo = self.memo
+        """Encodes matches not seen yet; a match is split no further, so the library's model alone says its tokens."""
+        memo, tokens_of = self.memo, self.tokenizer.model.tokenize
         if len(memo) + len(pieces) > MEMO_LIMIT:  # short matches recur most
             kept = {p: ids for p, ids in memo.items() if len(p) < 8}
             memo.clear()
             if len(kept) + len(pieces) <= MEMO_LIMIT:
                 memo.update(kept)
-        words, rest = [], []
         for p in pieces:
-            (words if p[0] == " " and p[1:].isalpha() else rest).append(p)
-        for at in range(0, len(words), 4000):
-            part = words[at : at + 4000]
-            numbers = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            starts = (np.flatnonzero(self.spaced[numbers]) * 4).tolist()  # only a word's first token begins with its space
-            assert len(starts) == len(part), "the words of a running text were split otherwise than alone"
-            ids = numbers.tobytes()
-            memo.update(zip(part, [ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)])]))
-        tokens_of = self.tokenizer.model.tokenize  # a match is split no further, so the model alone says its tokens
-        for p in rest:
-            memo[p] = np.array([t.id for t in tokens_of(p.encode().decode("latin-1").translate(CHARACTERS))], "<u4").tobytes()
+            if p.isascii() and p.lstrip(" ").isalnum():  # only the space before a word has another character
+                spelled = p.replace(" ", SPACE)
+            else:
+                spelled = p.encode().decode("latin-1").translate(CHARACTERS)
+            ids = [t.id for t in tokens_of(spelled)]
+            memo[p] = pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = [self.find(t) if t.isascii() or not odd(t) else None for t in texts]

@@ -89,3 +89,85 @@ def transfer_invariant(t: Tables):
     total = lambda df, name: df.agg(F.sum(F.col("c_acctbal").cast("decimal(24,2)")).cast("double").alias(name))
     accounts = t.customer.select("c_custkey", "c_acctbal")
     return total(accounts, "before").crossJoin(total(versions.transfer(accounts, "c_custkey", "c_acctbal", 3, 4, 50.0), "after"))
+
+
+@query(f"WITH {VERSIONS} SELECT o_orderkey FROM v WHERE xmax = 0")
+def heap_scan(t: Tables):
+    return _versions(t).filter("xmax = 0").select("o_orderkey")
+
+
+@query("SELECT r_name FROM region WHERE r_regionkey = 3")
+def fetch_by_row_id(t: Tables):
+    # a surrogate by the order of the key stands for a physical address
+    from pyspark.sql import Window
+
+    numbered = t.region.withColumn("row_id", F.row_number().over(Window.orderBy("r_regionkey")) - 1)
+    return numbered.filter("row_id = 3").select("r_name")
+
+
+@query("SELECT event_id AS lsn, event_type FROM events WHERE event_type <> 'view' UNION ALL SELECT event_id + 1000000, event_type FROM events WHERE event_type = 'view'")
+def log_append(t: Tables):
+    import uuid
+
+    folder = t.spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints").rstrip("/")
+    path = f"{folder}/granary/log-{uuid.uuid4().hex}"
+    t.events.filter("event_type <> 'view'").select(F.col("event_id").alias("lsn"), "event_type").write.parquet(path)
+    t.events.filter("event_type = 'view'").select((F.col("event_id") + 1000000).alias("lsn"), "event_type").write.mode("append").parquet(path)
+    return t.spark.read.schema("lsn bigint, event_type string").parquet(path).orderBy("lsn")
+
+
+@query("""WITH l AS (SELECT user_id % 200 AS resource, event_id AS owner, CASE WHEN event_type = 'purchase' THEN 'X' ELSE 'S' END AS mode FROM events WHERE value > 80)
+SELECT a.owner AS holder, b.owner AS waiter, a.mode AS held, b.mode AS wanted FROM l a JOIN l b ON a.resource = b.resource AND a.owner < b.owner AND (a.mode = 'X' OR b.mode = 'X')""")
+def lock_conflicts(t: Tables):
+    mode = F.when(F.col("event_type") == "purchase", "X").otherwise("S")
+    locks = t.events.filter("value > 80").select((F.col("user_id") % 200).alias("resource"), F.col("event_id").alias("owner"), mode.alias("mode"))
+    on = F.expr("a.resource = b.resource AND a.owner < b.owner AND (a.mode = 'X' OR b.mode = 'X')")
+    held = locks.alias("a").join(locks.alias("b"), on)
+    return held.select(F.col("a.owner").alias("holder"), F.col("b.owner").alias("waiter"), F.col("a.mode").alias("held"), F.col("b.mode").alias("wanted"))
+
+
+@query(f"""WITH {VERSIONS}, {COMMITTED} SELECT xmin % 5 AS part, count(*) FILTER (WHERE xmax IN (SELECT txn FROM s)) AS dead, count(*) AS n,
+round(count(*) FILTER (WHERE xmax IN (SELECT txn FROM s))::DOUBLE / count(*), 4) AS share FROM v GROUP BY part""")
+def dead_row_report(t: Tables):
+    held, dead = _versions(t), versions.deleted(_versions(t), _snapshot(t))
+    part = (F.col("xmin") % 5).alias("part")
+    gone = dead.groupBy(part).agg(F.count(F.lit(1)).alias("dead"))
+    counted = held.groupBy(part).agg(F.count(F.lit(1)).alias("n")).join(gone, "part", "left").withColumn("dead", F.coalesce("dead", F.lit(0).cast("long")))
+    return counted.select("part", "dead", "n", F.round(F.col("dead") / F.col("n"), 4).alias("share"))
+
+
+@query("""WITH p AS (SELECT user_id % 3 AS replica, max(event_id) AS applied FROM events WHERE event_type <> 'purchase' GROUP BY replica), m AS (SELECT max(event_id) AS written FROM events)
+SELECT replica, written - applied AS lag, written - applied > 10 AS late FROM p, m""")
+def replication_lag(t: Tables):
+    applied = t.events.filter("event_type <> 'purchase'").groupBy((F.col("user_id") % 3).alias("replica")).agg(F.max("event_id").alias("applied"))
+    written = t.events.agg(F.max("event_id").alias("written"))
+    lag = F.col("written") - F.col("applied")
+    return applied.crossJoin(F.broadcast(written)).select("replica", lag.alias("lag"), (lag > 10).alias("late"))
+
+
+@query("SELECT * FROM nation")
+def replica_refresh(t: Tables):
+    import uuid
+
+    from ..sources import tables
+
+    folder = t.spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints").rstrip("/")
+    path = f"{folder}/granary/replica-{uuid.uuid4().hex}"
+    tables.dump(t.nation, path)
+    return t.spark.read.schema(t.nation.schema).parquet(path)
+
+
+@query("SELECT count(*) AS n, count(DISTINCT c_mktsegment) AS segments FROM customer")
+def cached_scan(t: Tables):
+    from pyspark import StorageLevel
+
+    held = t.customer.select("c_custkey", "c_mktsegment").persist(StorageLevel.MEMORY_AND_DISK)
+    out = [(held.count(), held.select("c_mktsegment").distinct().count())]
+    held.unpersist()
+    return t.spark.createDataFrame(out, "n long, segments long")
+
+
+@query("SELECT column_name AS column, lower(data_type) AS kind FROM information_schema.columns WHERE table_name = 'region'")
+def schema_dump(t: Tables):
+    names = {"int": "integer", "string": "varchar"}
+    return t.spark.createDataFrame([(c, names.get(k, k)) for c, k in t.region.dtypes], "column string, kind string")

@@ -255,3 +255,9 @@ def concatenation(t: Tables):
         t.customer.filter("c_acctbal < -900").select(F.lit("customer").alias("kind"), F.col("c_acctbal").alias("balance")),
         t.supplier.filter("s_acctbal < -900").select(F.lit("supplier").alias("kind"), F.col("s_acctbal").alias("balance")),
     ])
+
+
+@query("SELECT t.name, t.columns FROM (VALUES ('nation', 3), ('region', 2)) t(name, columns)")
+def table_listing(t: Tables):
+    tables.register(t.spark, t.folder, ["region", "nation"])
+    return tables.listing(t.spark).filter(F.col("name").isin("region", "nation"))

@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
     from granary.session import build_session
 
     shared = tmp_path_factory.mktemp("shared")
-    session = build_session("tests", cores=4, **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.checkpoint.dir": f"file://{shared}"})
+    session = build_session("tests", cores=4, **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.checkpoint.dir": f"file://{shared}", "spark.sql.warehouse.dir": f"{shared}/warehouse"})
     yield session
     session.stop()
 

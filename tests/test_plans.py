@@ -38,3 +38,23 @@ def test_dump_and_read_back(spark, small, tmp_path, kind):
     tables.dump(region, f"file://{tmp_path}/r", kind)
     back = spark.read.format(kind).schema(region.schema).load(f"file://{tmp_path}/r")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, region.collect()))
+
+
+def test_plan_text_and_costs(spark, small):
+    from granary.operators import inspect
+
+    df = tables.read(spark, small, "orders").filter("o_orderkey = 42").select("o_custkey")
+    assert "PushedFilters" in inspect.plan_text(df) and "== Optimized Logical Plan ==" in inspect.plan_text(df, "cost")
+    assert inspect.filtered_rows(10_000, ["=", "<"]) == pytest.approx(33)
+    assert inspect.scan_cost(1024, True) == 11 and inspect.scan_cost(1024, False) == 1024
+    assert inspect.join_cost((10, 100), (5, 50), True) == 165 and inspect.join_cost((10, 100), (5, 50), False) == 510
+
+
+def test_analyze(spark, small):
+    from granary.operators import inspect
+
+    spark.sql("DROP TABLE IF EXISTS stats_region")
+    tables.read(spark, small, "region").write.mode("overwrite").saveAsTable("stats_region")
+    got = {(r.column, r.name): r.value for r in inspect.analyze(spark, "stats_region").collect()}
+    assert got["r_regionkey", "distinct_count"] == "5" and got["r_regionkey", "max"] == "4"
+    spark.sql("DROP TABLE stats_region")

@@ -29,7 +29,7 @@ K1, B = 1.2, 0.75
 SHARD, SHARD_CHARS = 4096, 20_000_000
 BLOCK = 64
 #: Neighbouring blocks that are scored together.
-GROUP = 8
+GROUP = 4
 #: Queries, and their distinct terms, that are answered at a time.
 QUERY_BLOCK = 4096
 #: Common terms by which documents are put in order.

@@ -30,8 +30,9 @@ SHARD, SHARD_CHARS = 4096, 20_000_000
 BLOCK = 64
 #: Neighbouring blocks that are scored together.
 GROUP = 4
-#: Queries, and their distinct terms, that are answered at a time.
+#: Queries that a pass over the shards answers, and those of them that are scored together.
 QUERY_BLOCK = 4096
+TOGETHER = 1024
 #: Common terms by which documents are put in order.
 LEADING = 64
 #: A term in more than this part of a shard's documents is kept as a row over all of them.
@@ -215,8 +216,11 @@ def searcher(whole, mean: float, k: int):
         terms, weights, queries, names, floor = whole.value
         best, found = np.zeros((len(queries), k)), np.full((len(queries), k), -1, np.int64)
         for batch in batches:
-            for i in range(batch.num_rows if queries else 0):
-                Shard({c: batch.column(c)[i].as_py() for c in batch.schema.names}, terms, weights, mean).search(queries, best, found, floor)
+            for i in range(batch.num_rows):
+                shard = Shard({c: batch.column(c)[i].as_py() for c in batch.schema.names}, terms, weights, mean)
+                for at in range(0, len(queries), TOGETHER):
+                    some = slice(at, at + TOGETHER)
+                    shard.search(queries[some], best[some], found[some], floor[some])
         q, r = np.nonzero((found >= 0) & (best >= floor[:, None] - 1e-7))
         yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.int64()), pa.array(found[q, r], pa.int64()), pa.array(best[q, r], pa.float64())], ["query_id", "doc_id", "score"])
 

@@ -1,9 +1,11 @@
 """Row versions, row changes, redo."""
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import versions
+from ..sources import tables
 from .registry import Tables, query
 
 #: Versions made of orders by fixed arithmetic, and a snapshot in which every third transaction is not committed.
@@ -98,19 +100,14 @@ def heap_scan(t: Tables):
 
 @query("SELECT r_name FROM region WHERE r_regionkey = 3")
 def fetch_by_row_id(t: Tables):
-    # a surrogate by the order of the key stands for a physical address
-    from pyspark.sql import Window
-
+    # a surrogate by the order of the key stands for a physical address; the relation has five rows
     numbered = t.region.withColumn("row_id", F.row_number().over(Window.orderBy("r_regionkey")) - 1)
     return numbered.filter("row_id = 3").select("r_name")
 
 
 @query("SELECT event_id AS lsn, event_type FROM events WHERE event_type <> 'view' UNION ALL SELECT event_id + 1000000, event_type FROM events WHERE event_type = 'view'")
 def log_append(t: Tables):
-    import uuid
-
-    folder = t.spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints").rstrip("/")
-    path = f"{folder}/granary/log-{uuid.uuid4().hex}"
+    path = tables.scratch(t.spark, "log")
     t.events.filter("event_type <> 'view'").select(F.col("event_id").alias("lsn"), "event_type").write.parquet(path)
     t.events.filter("event_type = 'view'").select((F.col("event_id") + 1000000).alias("lsn"), "event_type").write.mode("append").parquet(path)
     return t.spark.read.schema("lsn bigint, event_type string").parquet(path).orderBy("lsn")
@@ -147,20 +144,13 @@ def replication_lag(t: Tables):
 
 @query("SELECT * FROM nation")
 def replica_refresh(t: Tables):
-    import uuid
-
-    from ..sources import tables
-
-    folder = t.spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints").rstrip("/")
-    path = f"{folder}/granary/replica-{uuid.uuid4().hex}"
+    path = tables.scratch(t.spark, "replica")
     tables.dump(t.nation, path)
     return t.spark.read.schema(t.nation.schema).parquet(path)
 
 
 @query("SELECT count(*) AS n, count(DISTINCT c_mktsegment) AS segments FROM customer")
 def cached_scan(t: Tables):
-    from pyspark import StorageLevel
-
     held = t.customer.select("c_custkey", "c_mktsegment").persist(StorageLevel.MEMORY_AND_DISK)
     out = [(held.count(), held.select("c_mktsegment").distinct().count())]
     held.unpersist()

@@ -189,10 +189,7 @@ def json_sink(t: Tables):
 
 @query("SELECT event_type, event_id, user_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)")
 def partition_pruning(t: Tables):
-    import uuid
-
-    folder = t.spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints").rstrip("/")
-    path = f"{folder}/granary/by-type-{uuid.uuid4().hex}"
+    path = tables.scratch(t.spark, "by-type")
     tables.dump(t.events.select("event_type", "event_id", "user_id"), path, by=["event_type"])
     kept = t.spark.read.schema("event_id bigint, user_id bigint, event_type string").parquet(path)
     first = t.events.agg(F.min("event_type")).first()[0]

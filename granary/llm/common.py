@@ -41,7 +41,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, as the session's spark.checkpoint.dir names it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or LOCAL_FOLDER).rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(named or LOCAL_FOLDER)
+    # with its scheme, so that Spark and Arrow take it for the same place
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -49,11 +52,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/granary/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a written table in the shared folder: computed once, and still there when executors are lost."""
+def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """`df` as a written table in the shared folder: computed once, and still there when executors are lost.
+
+    `small`: the rows are little beside what they were made of; they are dealt anew, so that many tasks leave few files.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df.hint("rebalance") if small else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

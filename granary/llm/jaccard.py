@@ -3,9 +3,9 @@
 Documents are sets of word n-grams. Documents with the same set are one class from the start; only one of each class
 goes on. Bands of MinHash values put sets that are likely to be similar into a bucket, by a shuffle on the bands'
 hashes. Buckets are not expanded into pairs: each set is tied to its bucket's first, which gives clusters that hold
-every pair of a bucket. Clusters are cut into blocks of bounded size, and each pair of blocks is one task that verifies
-the pairs which share a band on their full sets and returns a row per set: how many it is linked to, and one of those
-that it hangs together with.
+every pair of a bucket. A cluster, or each bucket of a cluster that is too large for that, is cut into blocks of bounded
+size, and each pair of blocks is one group that verifies the pairs which share a band on their full sets and returns a
+row per set: how many it is linked to, and one of those that it hangs together with.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import fresh, staged
+from .common import staged
 from .components import components
 
 #: Sets in a block, about.
 BLOCK = 256
+#: Blocks beyond which a cluster is verified bucket by bucket.
+LARGE = 16
 COLUMNS = 4096
 #: More n-grams than this at once are hashed in parts.
 PART = 1 << 14
@@ -120,11 +122,13 @@ def common_grams(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
     return out
 
 
-def links_of(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """Which sets of `left` are linked to which of `right`: they share a band, and their Jaccard similarity is enough."""
-    close = np.zeros((len(left), len(right)), bool)
-    for k in range(bands.shape[1]):
-        close |= bands[left, k][:, None] == bands[right, k][None, :]
+def links_of(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, band: int = -1) -> np.ndarray:
+    """Which sets of `left` are linked to which of `right`: they share a band, and their Jaccard similarity is enough.
+    With `band`, it must be the first that they share, so that a pair counts in one bucket only."""
+    earlier = np.zeros((len(left), len(right)), bool)
+    for k in range(bands.shape[1] if band < 0 else band):
+        earlier |= bands[left, k][:, None] == bands[right, k][None, :]
+    close = earlier if band < 0 else (bands[left, band][:, None] == bands[right, band][None, :]) & ~earlier
     close &= left[:, None] != right[None, :]
     sizes = np.array([len(s) for s in sets])
     low, high = np.minimum(sizes[left][:, None], sizes[right][None, :]), np.maximum(sizes[left][:, None], sizes[right][None, :])
@@ -144,7 +148,7 @@ def verify(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     sets = [np.asarray(x, np.int64).view(np.uint64) for x in group["grams"]]
     bands = np.array([np.asarray(x, np.int64) for x in group["bands"]])
     node, copies, block = group["node"].to_numpy(), group["copies"].to_numpy(), group["block"].to_numpy()
-    low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
+    low, high, band = (int(group[c].iloc[0]) for c in ("low", "high", "band"))
     left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
     docs, others, root = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64), np.arange(len(node))
 
@@ -155,7 +159,7 @@ def verify(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
         return x
 
     if len(left) and len(right):
-        close = links_of(sets, bands, left, right, threshold)
+        close = links_of(sets, bands, left, right, threshold, band)
         docs[left] += close @ copies[right]
         others[left] += close.sum(1)
         if low != high:
@@ -183,24 +187,30 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     """
     bands = bands_for(threshold, recall, rows)
     signed = signatures(docs, key, text, size, bands, rows).withColumn("node", F.monotonically_increasing_id())
-    signed = staged(signed, "signatures")
+    signed = staged(signed, "signatures", small=True)
     sets = signed.filter(F.col("gram_set").isNotNull()).groupBy("gram_set").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies"), F.min(key).alias("first_key"))
     sets = staged(sets, "sets")
     ones = staged(signed.join(sets.select("node", "copies"), "node"), "ones")
     spread = ones.select("node", F.posexplode("bands").alias("band", "hash"))
-    heads = spread.groupBy("band", "hash").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    heads = spread.groupBy("band", "hash").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     ties = spread.join(heads, ["band", "hash"]).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     clusters = components(ties)
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    dealt = clusters.join(sizes, "root").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = ones.join(dealt, "node").select(F.col(key).alias("_key"), F.col("digest").alias("_digest"), "node", "copies", "bands", "root", "blocks", "block")
+    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = staged(clusters.join(sizes, "root"), "dealt")
+    # the groups in which a node meets others: its cluster's pairs of blocks, or those of its buckets
+    small = dealt.filter(F.col("blocks") <= LARGE).select("node", F.col("root").alias("group"), F.lit(-1).alias("band"), "blocks")
+    buckets = spread.join(dealt.filter(F.col("blocks") > LARGE).select("node"), "node").join(heads, ["band", "hash"])
+    large = buckets.select("node", F.xxhash64("band", "hash").alias("group"), "band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    places = small.unionAll(large).withColumn("block", block)
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct("group", "band", "block", F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
+    visits = places.groupBy("node").agg(F.flatten(F.collect_list(meets)).alias("visits"))
+    wanted = ones.join(visits, "node").select(F.col(key).alias("_key"), F.col("digest").alias("_digest"), "node", "copies", "bands", "visits")
     texts = docs.select(docs[key].alias("_own"), F.md5(F.coalesce(docs[text], F.lit(""))).alias("_of"), docs[text].alias("_text"))
     held = texts.join(wanted, (F.col("_of") == F.col("_digest")) & F.col("_own").eqNullSafe(F.col("_key")))
     full = grams_of(held, size).dropDuplicates(["node"])
-    paired = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("node", "copies", "bands", "grams", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    checked = paired.groupBy("root", "low", "high").applyInPandas(lambda g: verify(g, threshold), "node long, docs long, others long, first long")
+    paired = full.select("node", "copies", "bands", "grams", F.explode("visits").alias("visit")).select("node", "copies", "bands", "grams", "visit.*")
+    checked = paired.groupBy("group", "band", "low", "high").applyInPandas(lambda g: verify(g, threshold), "node long, docs long, others long, first long")
     checked = staged(checked, "checked")
     links = checked.groupBy("node").agg(F.sum("docs").alias("docs"), F.sum("others").alias("others"))
     classes = components(checked.select(F.col("node").alias("a"), F.col("first").alias("b")))
@@ -218,7 +228,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
 
 def grams_of(held: DataFrame, size: int) -> DataFrame:
     """`held` without its text and keys, with `grams`, the hashes of the text's n-grams."""
-    names = ["node", "copies", "bands", "root", "blocks", "block"]
+    names = ["node", "copies", "bands", "visits"]
     schema = T.StructType([held.schema[n] for n in names] + [T.StructField("grams", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,6 +245,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
 
     Of equal rows one stays. Rows without a key, and rows that share the class's key but not all columns, all stay.
     """
-    (name,) = fresh(docs, "kept")
-    kept = join(docs, key, **options).filter(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias(name)).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col(name)), "left_semi").dropDuplicates()
+    told = join(docs, key, **options).filter(F.col(key).isNotNull())
+    kept = told.groupBy(key).agg(F.max(F.col(key) == F.col("class_id")).alias("first"), F.count(F.lit(1)).alias("n")).filter("first")
+    kept = staged(kept, "kept")
+    # both joins read one shuffle of the documents; only ids that occur again are searched for equal rows
+    once = docs.join(kept.filter("n = 1").select(key), key, "left_semi").select(*docs.columns)
+    again = docs.join(kept.filter("n > 1").select(key), key, "left_semi").select(*docs.columns).dropDuplicates()
+    return once.unionByName(again).unionByName(docs.filter(F.col(key).isNull()).dropDuplicates())

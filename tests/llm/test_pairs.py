@@ -47,9 +47,10 @@ def brute(texts):
     return [len(x) for x in links], root
 
 
-@pytest.mark.parametrize("block", [256, 16])
-def test_join_by_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, large", [(256, 16), (16, 16), (16, 0)])
+def test_join_by_brute_force(spark, monkeypatch, block, large):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "LARGE", large)
     texts = corpus()
     df = staged(spark.createDataFrame([(i, t, i, "x", 0) for i, t in enumerate(texts)], "doc_id long, text string, node long, gram_set string, root int").repartition(3), "corpus")
     got = {r.doc_id: (r.n_links, r.class_id) for r in jaccard.join(df).collect()}

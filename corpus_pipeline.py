@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import jaccard, language, packing, toxicity
-from granary.llm.common import ship, staged, table
+from granary.llm.common import fresh, ship, staged, table
 
 #: A document is toxic from this probability on.
 TOXIC = 0.3
@@ -22,18 +22,17 @@ LEAST_SHARE = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of being toxic is below TOXIC. The model learns from the labelled rows of `docs`."""
     ship(spark)
-    columns = docs.columns
+    (score,) = fresh(docs, "score")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.select(F.struct(*columns).alias("row"), "text"), model).filter(F.col("score") < TOXIC).select("row.*")
+    return toxicity.score(docs, model, into=score).filter(F.col(score) < TOXIC).drop(score)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language: words, most of which are not spread over all languages."""
     ship(spark)
-    columns = docs.columns
-    model = language.learn(docs)
-    named = language.identify(docs.select(F.struct(*columns).alias("row"), "text"), model)
-    return named.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("row.*")
+    name, share = fresh(docs, "lang_pred", "share")
+    named = language.identify(docs, language.learn(docs), into=(name, share))
+    return named.filter((F.col(name) != language.UNKNOWN) & (F.col(share) >= LEAST_SHARE)).drop(name, share)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,15 +54,20 @@ def member(headers: dict[str, str], block: bytes, level: int) -> bytes:
     return packer.compress(f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode()) + packer.compress(block + b"\r\n\r\n") + packer.flush()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, level: int) -> bytes:
-    """A response, or a revisit if `refers_to` names the page that holds the same payload."""
+def target(url: str) -> str:
+    """A URL as a header's value: as it is where it fits on the line, else as a JSON string."""
+    return url if url.isprintable() and url == url.strip() and url[:1] != '"' and url else json.dumps(url)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, level: int, place: str = "") -> bytes:
+    """A response, or a revisit if `refers_to` names the page that holds the same payload; `place` makes its id unique."""
     digest, revisit = sha256(payload), refers_to is not None
     block = HTTP_HEAD % len(payload) + (b"" if revisit else payload)
     headers = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id} {digest}')}>",
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id} {digest} {place}')}>",
         "WARC-Date": "1970-01-01T00:00:00Z",
-        "WARC-Target-URI": None if url is None else json.dumps(url),  # any character, on one line
+        "WARC-Target-URI": None if url is None else target(url),
         "WARC-Profile": REVISIT_PROFILE if revisit else None,
         "WARC-Payload-Digest": f"sha256:{digest}",
         "WARC-Block-Digest": f"sha256:{sha256(block)}",
@@ -108,7 +113,7 @@ def verified(found: Record) -> Record:
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    return fs.FileSystem.from_uri(uri)
 
 
 def referred(pages: DataFrame, least: int, page_id: str = "page_id", html: str = "html") -> DataFrame:
@@ -148,7 +153,7 @@ def write(pages: DataFrame, folder: str, least: int = 100, level: int = 1) -> Da
                 if out is None:
                     name, written, count = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{base}/{name}.part", compression=None)
-                data = record(row["page_id"], row["url"], (row["html"] or "").encode(), row["refers_to"], level)
+                data = record(row["page_id"], row["url"], (row["html"] or "").encode(), row["refers_to"], level, f"{name} {count}")
                 out.write(data)
                 written, count = written + len(data), count + 1
                 if written >= ARCHIVE_BYTES:
@@ -171,7 +176,7 @@ def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
         h = found.headers
         fixed = number(h.get("X-Page-ID")), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha256:"), h["WARC-Type"], number(h.get("X-Refers-To-Page-ID"))
         url = h.get("WARC-Target-URI")
-        return (*fixed, None if url is None else json.loads(url), found.payload if h["WARC-Type"] == "response" else None)[: len(names)]
+        return (*fixed, json.loads(url) if url and url[0] == '"' else url, found.payload if h["WARC-Type"] == "response" else None)[: len(names)]
 
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
@@ -198,5 +203,5 @@ def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
     from .common import staged
 
     spark = pages.sparkSession
-    listed = staged(write(pages, scratch(spark, "warc"), least), "archives")
+    listed = staged(write(pages, scratch(spark, "warc"), least), "archives", small=True)
     return read(listed.repartition(max(1, listed.count())))

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import json
 
 import pytest
 
@@ -31,6 +32,12 @@ def test_read_payloads(spark):
     assert bytes(back[1].payload).decode() == BIG and back[1].url == "http://x/é" and back[2].payload is None and back[2].refers_to == 1
 
 
+@pytest.mark.parametrize("url", ["http://a/b?c=d e", "", " x", "a\r\nWARC-Type: x", '"q"', "é\u2028", "null"])
+def test_urls_survive(url):
+    found = next(warc.records(io.BytesIO(warc.record(1, url, b"p", None, 1)))).headers["WARC-Target-URI"]
+    assert (json.loads(found) if found[0] == '"' else found) == url
+
+
 def archive(*payloads):
     return b"".join(warc.record(i, "u", p, None, 6) for i, p in enumerate(payloads))
 

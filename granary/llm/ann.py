@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -127,13 +126,13 @@ def search(rows: DataFrame, every: int, k: int = 5, sure: float = 0.95, key: str
     """The `k` nearest found to each row whose id `every` divides: query_id, rank, vec_id, score.
 
     All rows are indexed. A row with a null id or vector, with null or non-finite components, a zero vector, or one
-    whose length is not the table's commonest takes no part. Candidates are all rows with another id, so repeated rows
-    are no neighbours of each other, while equal vectors with different ids are; ties go to the smaller id. With fewer
+    whose length is not the table's commonest takes no part. Candidates are all rows with another id, so rows that
+    repeat an id are no neighbours of each other (the least vector stands for them), while equal vectors with different
+    ids are; ties go to the smaller id. With fewer
     candidates than `k` there are fewer ranks; no rows give no rows; other columns are ignored.
     """
     spark = rows.sparkSession
-    held = usable(rows, key, vector).dropDuplicates(["id"])
-    held = staged(held, "vectors")
+    held = staged(usable(rows, key, vector).groupBy("id").agg(F.min("v").alias("v")), "vectors")
     n = held.count()
     segments = max(1, -(-n // SEGMENT))
     first = held.select(F.size("v")).first()

@@ -55,3 +55,17 @@ def test_near_copies_by_brute_force(stages):
     rows = sorted((r.doc_id, r.text) for r in stages[2].collect())
     _, root = brute([t for _, t in rows])
     assert ids(stages[3]) == {rows[r][0] for r in set(root)}
+
+
+@pytest.mark.parametrize("n", [0, None])
+def test_stages_take_any_columns_and_no_rows(spark, n):
+    held = [(1, None, None, "s", None), (None, "", "en", None, 0), (2, "the and of in a word or two", "en", "s", 1), (2, "the and of in a word or two", "en", "s", 1), (3, "1 2 3", "en", "s", 5), (4, "the word " * 50_000, "en", "s", 5)]
+    rows = [(*r, 0.5, "x", 7, "y", 1.0, True) for r in held]
+    names = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, class_id int, row string, sequence_id double, kept boolean"
+    docs = staged(spark.createDataFrame(rows[:n], names), "any")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns
+        assert (out.count() == 0) if n == 0 else {2, 4} <= ids(out)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
+    assert (packed.count() == 0) if n == 0 else ids(packed) == {None, 1, 2, 3, 4}

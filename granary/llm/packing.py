@@ -224,7 +224,7 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = 1024, en
     Null and empty texts are one end id; a null key is kept; equal rows are packed each; no rows give no rows; other
     columns are ignored. With `keep_ids` the pieces carry their ids for `sequences`.
     """
-    pieces = staged(tokenize(docs, tokenizer, pattern, capacity, end_id, key, keep_ids=keep_ids), "pieces")
+    pieces = staged(tokenize(docs, tokenizer, pattern, capacity, end_id, key, keep_ids=keep_ids), "pieces", small=not keep_ids)
     return place(pieces, capacity, order=["salt", key, "piece"]).drop("salt")
 
 

@@ -241,7 +241,7 @@ def search(docs: DataFrame, every: int, k: int = 10, key: str = "doc_id", text:
     mean = words / n if n else 0.0
     first = F.pmod(F.xxhash64("ids"), F.lit(max(1, math.isqrt(shards.count())))) == 0  # about the root of their number
     asked = docs.select(F.col(key).cast("long").alias("query_id"), F.col(text).alias("text")).filter(F.col("query_id") % every == 0)
-    asked = staged(asked_terms(asked.groupBy("query_id").agg(F.min("text").alias("text")).filter("text is not null")), "queries")
+    asked = staged(asked_terms(asked.groupBy("query_id").agg(F.min("text").alias("text")).filter("text is not null")), "queries", small=True)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     found = None
     for block in range(blocks):  # a block of queries is bounded, whatever their number
@@ -271,14 +271,14 @@ def search(docs: DataFrame, every: int, k: int = 10, key: str = "doc_id", text:
         hits = "query_id long, doc_id long, score double"
         floor = np.zeros(len(names))
         whole = spark.sparkContext.broadcast((terms, weights, queries, names, floor))
-        early = staged(shards.filter(first).mapInArrow(searcher(whole, mean, k), hits), "hits")
+        early = staged(shards.filter(first).mapInArrow(searcher(whole, mean, k), hits), "hits", small=True)
         # what the first shards' k-th best scores already say, no other shard need beat again
         reached = early.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).filter(F.size("s") >= k)
         reached = reached.select("query_id", F.element_at("s", k).alias("least")).toPandas()  # a number per query of the block
         order = np.argsort(names)
         floor[order[np.searchsorted(names[order], reached["query_id"].to_numpy(np.int64))]] = reached["least"]
         whole = spark.sparkContext.broadcast((terms, weights, queries, names, floor))
-        late = staged(shards.filter(~first).mapInArrow(searcher(whole, mean, k), hits), "hits")
+        late = staged(shards.filter(~first).mapInArrow(searcher(whole, mean, k), hits), "hits", small=True)
         part = early.unionAll(late)
         found = part if found is None else found.unionAll(part)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")

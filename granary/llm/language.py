@@ -12,7 +12,6 @@ together: products of the runs' transfer matrices link them, so the sums are exa
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -265,21 +264,22 @@ def learn(docs: DataFrame, learn_rows: int = LEARN_ROWS) -> Model:
     return fit(sorted((r["lang"], r["text"]) for r in sample.select("lang", "text").collect()))
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of `docs` with `lang_pred` and `score`, from whole texts.
+def identify(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("lang_pred", "score"), keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of `docs` (all of them, if none are named) with the language and its score in `into`, from whole texts.
 
     Texts that are null, empty or without a letter are `und` with score 0. Equal texts get the same language. Columns
     that are named like the results are replaced; no rows give no rows.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*into)
+    kept = keep or docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for part, texts in bpe.sliced(batch, text):
                 found = model.label(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([k for k, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([k for k, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -32,7 +32,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's probability of being toxic."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's language."""
     docs = table(spark, sf_dir, "documents")
     model = language.learn(docs)
-    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return language.identify(docs.select("doc_id", "text"), model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {

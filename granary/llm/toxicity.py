@@ -141,7 +141,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS) -> M
     share = min(1.0, learn_rows / max(n, 1))
     sample = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1))
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id")  # about learn_rows ids
-    rows = staged(rows.select("toxic", "text"), "labelled")
+    rows = staged(rows.select("toxic", "text"), "labelled", small=True)
     a, b = F.col("a"), F.col("b")
     # one shuffle by expression serves both the distinct contexts and their number
     met = contexts(rows).repartition("unit").groupBy("unit", "context", "toxic").agg(F.lit(1).alias("once"))
@@ -226,17 +226,18 @@ def ratios(rows: DataFrame, model: Model) -> DataFrame:
     return rows.select("toxic", "text").mapInArrow(run, "toxic int, x double")
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of `docs` with `score`, which replaces a column of that name. Whole texts are scored; null counts as
-    empty; equal texts score alike; no rows give no rows."""
-    docs = docs.drop("score")
+def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of `docs` (all of them, if none are named) with the score in `into`, which replaces a column
+    of that name. Whole texts are scored; null counts as empty; equal texts score alike; no rows give no rows."""
+    docs = docs.drop(into)
+    kept = keep or docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(into, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for part, texts in bpe.sliced(batch, text):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([model.score(t) for t in texts], pa.float64())], schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([model.score(t) for t in texts], pa.float64())], schema.names)
 
     return docs.mapInArrow(run, schema)

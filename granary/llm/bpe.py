@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMO_LIMIT = 350_000
+MEMO_LIMIT = 300_000
 #: Texts are taken from an Arrow batch in slices of at most so many characters, which bounds what a worker holds.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 #: The pattern of byte-level BPE, for which plain texts have a quicker equal.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Code points that every Unicode version in use puts into the same class of the pattern.

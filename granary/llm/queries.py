@@ -106,5 +106,13 @@ QUERIES = {
     )
 }
 
-#: None of these is plain SQL over the tables; tests/llm holds each against a brute-force version.
-ORACLE_SQL: dict[str, str] = {}
+#: The others are not plain SQL over the tables, or too slow in it; tests/llm holds each against a brute-force version.
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)""",
+}

@@ -4,11 +4,12 @@ import hashlib
 import io
 import json
 
+import duckdb
 import pytest
 
 from granary.llm import urlfilter, warc
 from granary.llm.common import scratch, staged
-from granary.llm.queries import RULES
+from granary.llm.queries import ORACLE_SQL, RULES, op9_warc
 
 BIG = "<p>é</p>" * 50
 
@@ -26,6 +27,16 @@ def test_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_query_gives_what_its_sql_gives(spark):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
+    want = con.sql(ORACLE_SQL["op9_warc"])
+    got = op9_warc(spark, folder)
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+    assert [str(t) for t in want.types] == ["BIGINT", "BIGINT", "VARCHAR", "VARCHAR", "BIGINT"]
+
+
 def test_read_payloads(spark):
     pages = spark.createDataFrame([(1, "http://x/é", BIG), (2, "b", BIG)], "page_id long, url string, html string")
     back = {r.page_id: r for r in warc.read(staged(warc.write(pages, scratch(spark, "warc")), "archives"), payloads=True).collect()}

@@ -1,10 +1,11 @@
 """URL filters: explicit rules first, then a tree of path templates per host. DataFrame functions only.
 
 A path's segments have their runs of digits generalised, and equal paths are counted once per host before anything
-else, so a host with very many pages has as many rows as it has kinds of paths. From the root on, a segment that has
-too many different values under one parent becomes the wildcard `*`, and sibling branches whose labelled share of bad
-pages does not differ from their parent's, as a normal test tells, are merged into the branch `~`. A template's share of
-good pages is smoothed with its host's and that with all pages'; templates that are not pure enough are rejected.
+else, so a host with very many pages has as many rows as it has kinds of paths. From the root on, a segment keeps its
+own branch if its labelled share of bad pages differs from its parent's, as a normal test tells, however many siblings
+it has. All others become the wildcard `*`: those that are like their parent, and those with so few labelled pages that
+on their own they would get their host's verdict whatever their labels. A template's share of good pages is smoothed
+with its host's and that with all pages'; templates that are not pure enough are rejected.
 """
 
 from __future__ import annotations
@@ -40,7 +41,6 @@ class Tree:
     """How templates are made and judged."""
 
     depth: int = 6  # the last level holds whatever is left of a path
-    fanout: int = 20  # more values under a parent make a wildcard
     alike: float = 1.96  # standard errors within which a branch is like its parent
     smoothing: float = 10.0  # pages that a parent's share counts for
     purity: float = 0.5  # smoothed share of good pages below which a template is rejected
@@ -79,28 +79,33 @@ def judged(pages: DataFrame, tree: Tree) -> DataFrame:
     # a row per host and kind of path is little; as a table of its own it keeps every level's plan short
     nodes = staged(nodes, "kinds")
     used = nodes.agg(*(F.max(F.col(t) != "").alias(t) for t in levels)).first()
+    m = tree.smoothing
+    hosts = nodes.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("b").alias("hb"))
+    everything = hosts.agg(F.sum("hn").alias("an"), F.sum("hb").alias("ab"))  # one row
+    prior = F.coalesce(F.col("ab") / F.nullif(F.col("an"), F.lit(0)), F.lit(0.0))
+    hosts = hosts.crossJoin(F.broadcast(everything)).select("host", ((F.col("hb") + m * prior) / (F.col("hn") + m)).alias("by_host"))
+    hosts = staged(hosts, "hosts")
+
+    def rejected(bad: Column, n: Column) -> Column:
+        return 1 - (bad + m * F.col("by_host")) / (n + m) < tree.purity
+
     for i, level in enumerate(levels):
         if not used[level]:
             break
         above = ["host", *levels[:i]]
         branch = nodes.groupBy(*above, level).agg(F.sum("n").alias("bn"), F.sum("b").alias("bb"))
-        parent = branch.groupBy(*above).agg(F.count(F.lit(1)).alias("values"), F.sum("bn").alias("pn"), F.sum("bb").alias("pb"))
+        parent = branch.groupBy(*above).agg(F.sum("bn").alias("pn"), F.sum("bb").alias("pb")).join(hosts, "host")
         share, own = F.col("pb") / F.col("pn"), F.col("bb") / F.col("bn")
         error = F.sqrt(share * (1 - share) / F.col("bn"))
         alike = (F.col("pn") == 0) | (F.col("bn") == 0) | (F.abs(own - share) <= tree.alike * error)
+        rare = rejected(F.col("bn"), F.col("bn")) == rejected(F.lit(0), F.col("bn"))
         ended = F.col(level) == ""
-        new = F.when(F.col("values") > tree.fanout, "*").when(alike, "~").otherwise(F.col(level))
+        new = F.when(alike | rare, "*").otherwise(F.col(level))
         # a branch's new name, found by the branch and put on all kinds below it
         named = branch.join(parent, above).select(*above, level, F.when(ended, "").otherwise(new).alias("new"))
         nodes = staged(nodes.join(named, [*above, level]).drop(level).withColumnRenamed("new", level), "kinds")
     leaf = nodes.groupBy("host", *levels).agg(F.sum("n").alias("ln"), F.sum("b").alias("lb"))
-    hosts = leaf.groupBy("host").agg(F.sum("ln").alias("hn"), F.sum("lb").alias("hb"))
-    everything = hosts.agg(F.sum("hn").alias("an"), F.sum("hb").alias("ab"))  # one row
-    prior = F.coalesce(F.col("ab") / F.nullif(F.col("an"), F.lit(0)), F.lit(0.0))
-    m = tree.smoothing
-    by_host = (F.col("hb") + m * prior) / (F.col("hn") + m)
-    by_leaf = (F.col("lb") + m * by_host) / (F.col("ln") + m)
-    pure = leaf.join(hosts, "host").crossJoin(F.broadcast(everything)).withColumn("rejected", 1 - by_leaf < tree.purity)
+    pure = leaf.join(hosts, "host").withColumn("rejected", rejected(F.col("lb"), F.col("ln")))
     refused = nodes.join(pure.filter("rejected").select("host", *levels), ["host", *levels])
     return refused.select("host", "kind", F.lit(True).alias("rejected"))
 

@@ -123,3 +123,21 @@ def test_many_values_become_a_wildcard(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string")
     got = {r.page_id: r.verdict for r in urlfilter.judge(pages, spark.createDataFrame(marks, "page_id long, bad int"), []).collect()}
     assert {got[i] for i in range(60)} == {"block"} and {got[100 + i] for i in range(40)} == {"allow"}
+
+
+@pytest.mark.parametrize("sections", [3, 21, 300])
+def test_a_bad_section_is_found_among_any_number(spark, sections):
+    names = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(sections)]
+    pages = spark.createDataFrame([(100 * i + k, f"http://h.org/{w}/{k}") for i, w in enumerate(names) for k in range(100)], "page_id long, url string")
+    marks = pages.select("page_id", (pages.page_id >= 100 * (sections - 1)).cast("int").alias("bad"))
+    got = urlfilter.judge(pages, marks, []).filter("verdict = 'block'").collect()
+    assert {r.page_id for r in got} == set(range(100 * (sections - 1), 100 * sections))
+
+
+def test_rare_segments_are_judged_together_beside_a_large_one(spark):
+    words = ["".join(chr(97 + (i // 26**k) % 26) for k in range(3)) for i in range(60)]
+    rows = [(i, f"http://h.org/{w}/in") for i, w in enumerate(words)] + [(100 + i, "http://h.org/fine/out") for i in range(400)]
+    marks = [(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = urlfilter.judge(pages, spark.createDataFrame(marks, "page_id long, bad int"), []).filter("verdict = 'block'").collect()
+    assert {r.page_id for r in got} == set(range(60))

@@ -72,7 +72,7 @@ class Segment:
         self.high = np.array([projected[x].max(0) for x in held])
 
     def search(self, own: int, query: np.ndarray, point: np.ndarray, k: int, limit: float) -> list[tuple[float, int]]:
-        """The k nearest found as (cosine, id), nearest first; rows with the query's own id take no part."""
+        """The k nearest found as (cosine, id), nearest first; the query's own row, of its id and vector, takes no part."""
         gap = np.maximum(0, np.maximum(self.low - point, point - self.high))
         far = (gap * gap).sum(1)
         norm = math.sqrt((query * query).sum())
@@ -83,7 +83,11 @@ class Segment:
                 break
             rows = slice(self.ends[leaf], self.ends[leaf + 1])
             away = self.projected[rows] - point
-            near = np.flatnonzero(((away * away).sum(1) < reach) & (self.ids[rows] != own)) + rows.start
+            near = np.flatnonzero((away * away).sum(1) < reach) + rows.start
+            same = self.ids[near] == own
+            if same.any():
+                same[same] = (self.vectors[near[same]] == query).all(1)
+                near = near[~same]
             if not len(near):
                 continue
             cosine = (self.vectors[near] * query).sum(1) / (self.norms[near] * norm)
@@ -97,59 +101,65 @@ class Segment:
 
 
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """key and vector (of doubles) of the rows that take part: those of the commonest length, with an id, without null
-    or non-finite components, and not zero."""
-    sizes = rows.filter(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("n")).agg(F.count(F.lit(1)).alias("rows"))
-    first = sizes.filter("n > 0").orderBy(F.desc("rows"), "n").first()
-    size = first["n"] if first else 0
+    """id, v (of doubles) and its length of the rows that take part: those with an id and a vector without null or
+    non-finite components that is not zero. Rows that are equal in both are one."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     held = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    return held.filter(F.col("id").isNotNull() & (F.size("v") == size) & F.forall("v", finite) & F.exists("v", lambda x: x != 0))
+    held = held.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", finite) & F.exists("v", lambda x: x != 0))
+    return held.distinct().withColumn("length", F.size("v"))
 
 
-def searcher(shared, planes: np.ndarray, k: int, limit: float):
-    """Builds a segment's tree and answers a block of queries."""
+def directed(length: int, directions: int, seed: int) -> np.ndarray:
+    """The directions that vectors of a length are projected on."""
+    return np.random.default_rng(seed).standard_normal((length, directions))
+
+
+def searcher(shared, directions: int, seed: int, k: int, limit: float):
+    """Builds a segment's tree and answers those of a block of queries that have its vectors' length."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        tree = Segment(group["id"].to_numpy(np.int64), np.array(group["v"].tolist(), float), planes)
-        out = []
-        ids, queries = shared.value
-        points = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ planes if len(ids) else queries
-        for q, x, p in zip(ids.tolist(), queries, points):
-            out += [(q, i, s) for s, i in tree.search(q, x, p, k, limit)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+        vectors = np.array(group["v"].tolist(), float)
+        length, out = vectors.shape[1], []
+        if length in shared.value:
+            planes = directed(length, directions, seed)
+            tree = Segment(group["id"].to_numpy(np.int64), vectors, planes)
+            ids, numbers, queries = shared.value[length]
+            points = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ planes
+            for q, number, x, p in zip(ids.tolist(), numbers.tolist(), queries, points):
+                out += [(q, number, i, s) for s, i in tree.search(q, x, p, k, limit)]
+        return pd.DataFrame(out, columns=["query_id", "query_row", "vec_id", "score"])
 
     return run
 
 
 def search(rows: DataFrame, every: int, k: int = 5, sure: float = 0.95, key: str = "vec_id", vector: str = "embedding", seed: int = 29, directions: int = DIRECTIONS) -> DataFrame:
-    """The `k` nearest found to each row whose id `every` divides: query_id, rank, vec_id, score.
+    """The `k` nearest found to each row whose id `every` divides: query_id, rank, vec_id, score, query_row.
 
-    All rows are indexed. A row with a null id or vector, with null or non-finite components, a zero vector, or one
-    whose length is not the table's commonest takes no part. Candidates are all rows with another id, so rows that
-    repeat an id are no neighbours of each other (the least vector stands for them), while equal vectors with different
-    ids are; ties go to the smaller id. With fewer
+    All rows are indexed, also those that repeat an id with another vector, and each vector is compared with all others
+    of its length. A row with a null id or vector, with null or non-finite components, or a zero vector takes no part,
+    and rows equal in id and vector count once. Candidates are all rows but the query's own; ties go to the smaller id.
+    Each row of a repeated query id is a query: query_row numbers them from 1 in the order of their vectors. With fewer
     candidates than `k` there are fewer ranks; no rows give no rows; other columns are ignored.
     """
     spark = rows.sparkSession
-    held = staged(usable(rows, key, vector).groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    n = held.count()
-    segments = max(1, -(-n // SEGMENT))
-    first = held.select(F.size("v")).first()
-    size = first[0] if first else 1
-    planes = np.random.default_rng(seed).standard_normal((size, directions))
+    held = staged(usable(rows, key, vector), "vectors")
     limit = quantile(sure, directions)
-    dealt = held.withColumn("segment", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(segments)))
-    asked = held.filter(F.col("id") % every == 0)
+    # a row per length of vector
+    sizes = held.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / SEGMENT).alias("segments"))
+    dealt = held.join(F.broadcast(sizes), "length").withColumn("segment", F.pmod(F.xxhash64(F.lit(seed), "id", "v"), F.col("segments")))
+    number = F.row_number().over(Window.partitionBy("id").orderBy("length", "v"))
+    asked = staged(held.filter(F.col("id") % every == 0).withColumn("number", number), "queries", small=True)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     found = None
     for block in range(blocks):  # a block of queries is bounded, whatever their number
-        mine = asked.filter(F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(blocks)) == block).toPandas()
-        shared = spark.sparkContext.broadcast((mine["id"].to_numpy(np.int64), np.array(mine["v"].tolist(), float).reshape(len(mine), size)))
+        # by rows, as one id may have very many
+        mine = asked.filter(F.pmod(F.xxhash64(F.lit(seed + 1), "id", "number"), F.lit(blocks)) == block).toPandas()
+        parts = {n: (x["id"].to_numpy(np.int64), x["number"].to_numpy(np.int64), np.array(x["v"].tolist(), float)) for n, x in mine.groupby("length")}
+        shared = spark.sparkContext.broadcast(parts)
 
-        part = dealt.groupBy("segment").applyInPandas(searcher(shared, planes, k, limit), "query_id long, vec_id long, score double")
+        part = dealt.groupBy("length", "segment").applyInPandas(searcher(shared, directions, seed, k, limit), "query_id long, query_row long, vec_id long, score double")
         part = staged(part, "neighbours") if blocks > 1 else part
         found = part if found is None else found.unionAll(part)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select("query_id", "rank", "vec_id", "score", "query_row")

@@ -123,6 +123,25 @@ def test_neighbours_edge_cases(spark):
     assert ann.search(df.filter("vec_id = 0"), 50).count() == 0
 
 
+def test_every_row_of_a_repeated_id_and_of_any_length_is_searched(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i if i % 3 else 50, rng.normal(size=4 if i % 5 else 7)) for i in range(1, 301)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, 50, k=300).collect():
+        got.setdefault((r.query_id, r.query_row), []).append((r["rank"], r.vec_id, r.score))
+    cosine = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    asked = sorted(((i, len(v), v.tolist()) for i, v in rows if i % 50 == 0))
+    numbers = Counter()
+    assert len(got) == len(asked) > 100
+    for i, n, v in asked:
+        numbers[i] += 1
+        want = sorted((-cosine(np.array(v), x), j) for j, x in rows if len(x) == n and x.tolist() != v)
+        found = sorted(got[i, numbers[i]])
+        assert [r for r, _, _ in found] == list(range(1, len(want) + 1))
+        assert [j for _, j, _ in found] == [j for _, j in want] and [s for _, _, s in found] == pytest.approx([-s for s, _ in want])
+
+
 def test_chi_square():
     assert ann.chi_square(ann.quantile(0.95, 16), 16) == pytest.approx(0.95)
     assert ann.quantile(0.95, 16) == pytest.approx(26.2962, abs=1e-3)

@@ -87,13 +87,15 @@ def tokenizer_of_ranks(ranks: dict[bytes, int], pattern: str):
 class Encoder:
     """Encodes texts to ids, kept as little-endian unsigned 32-bit bytes.
 
-    Matches of plain texts are found here; texts with a character outside PLAIN the library splits and encodes whole.
+    Matches of plain texts are found here; texts with a character outside PLAIN, or with one of the tokenizer's added
+    tokens, the library splits and encodes whole.
     """
 
     def __init__(self, tokenizer, pattern: str):
         if pattern != BYTE_LEVEL:
             raise ValueError("matches are found for the pattern of byte-level BPE only")
         self.tokenizer, self.find = tokenizer, plain_pattern().findall
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
 
     def _learn(self, pieces: set[str]) -> None:
@@ -113,7 +115,7 @@ class Encoder:
             memo[p] = pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        found = [self.find(t) if t.isascii() or not odd(t) else None for t in texts]
+        found = [self.find(t) if (t.isascii() or not odd(t)) and not any(a in t for a in self.added) else None for t in texts]
         wanted = set().union(*(p for p in found if p))
         new = wanted.difference(self.memo)
         if new:
@@ -152,13 +154,11 @@ def rank_coder(path: str, pattern: str) -> tuple[Encoder, Decoder]:
 
 
 def file_encoder(path: str, pattern: str) -> Encoder:
-    """The encoder of a tokenizer file whose splitting pattern is `pattern`; special strings count as plain text."""
+    """The encoder of a tokenizer file whose splitting pattern is `pattern`; its added tokens keep their ids wherever a text spells them."""
     if ("file", path, pattern) not in _kept:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _kept["file", path, pattern] = (Encoder(tokenizer, pattern),)
+        _kept["file", path, pattern] = (Encoder(Tokenizer.from_file(path), pattern),)
     return _kept["file", path, pattern][0]
 
 

@@ -47,6 +47,19 @@ def test_codes_like_the_known_library(known, text):
     assert all(a < b for a, b in spans) and (not text or (spans[0][0], max(b for _, b in spans)) == (0, len(text)))
 
 
+def test_added_tokens_keep_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(TOKENIZER)
+    texts = ["a b<|endoftext|>c", "<|endoftext|>", "é世界🙂 <|endoftext|> it's 12³", "<|endoftext|><|endoftext|> \n", "<|endoftext|", "plain"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 275, 50256, 66]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.file_encoder(TOKENIZER, PATTERN).encode(texts)] == want
+    docs = staged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "added")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(docs, TOKENIZER, PATTERN).collect()}
+    assert got == {i: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(want)}
+
+
 def test_encode_and_decode(spark, edge, known):
     held = bpe.encode(edge, RANKS, PATTERN, ["doc_id"], spans=True)
     back = bpe.decode(held, RANKS, PATTERN, ["doc_id"])

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_FOLDER = "file:///tmp/checkpoints"
 
-
+#: The paths of staged tables, by the tables that are read from them.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_owned: set[str] = set()
 _shipped: set[str] = set()
 
 
@@ -39,8 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, as the session's spark.checkpoint.dir names it."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the driver and all executors see, as the session's spark.checkpoint.dir names it. Without it a
+    local session uses LOCAL_FOLDER; one on a cluster is refused, as no folder of a machine is shared."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = spark._jvm.org.apache.hadoop.fs.Path(named or LOCAL_FOLDER)
     # with its scheme, so that Spark and Arrow take it for the same place
     whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
@@ -48,8 +55,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_folder(spark)}/granary/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other call gets. What a session has put there goes when its driver ends."""
+    own = f"{shared_folder(spark)}/granary/{spark.sparkContext.applicationId}"
+    if own not in _owned:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _owned.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
@@ -60,7 +74,16 @@ def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     (df.hint("rebalance") if small else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read any more, results and repeated tasks included."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

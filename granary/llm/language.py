@@ -12,6 +12,8 @@ together: products of the runs' transfer matrices link them, so the sums are exa
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,17 +27,23 @@ from pyspark.sql import types as T
 from . import bpe
 from .common import held_out
 
-#: Documents of each language that are learned from, about; whole texts, sampled by hash of the id.
+#: Documents of each language that are learned from, about, sampled by hash of the id.
 LEARN_ROWS = 300
-#: Words of the training chains.
-LEARN_WORDS = 400_000
+#: Characters of each of them: a longer text gives a run of so many from a place drawn by hash.
+LEARN_CHARS = 20_000
+#: Words of the training chains for each language.
+LEARN_WORDS = 100_000
+#: Languages that are learned, the most frequent first.
+LANGUAGES = 256
 CHAIN = 64
 LEAST_STEPS = 60
 SIZE = 1 << 18
 LEXICON = 300
 UNKNOWN = "und"
 
-find_words = re.compile(r"[^\W\d_]+").findall
+#: Numerals are word characters, but no letters.
+NUMERALS = "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if chr(c).isnumeric() and unicodedata.category(chr(c))[0] == "N" and not chr(c).isdecimal())
+find_words = re.compile(rf"[^\W\d_{NUMERALS}]+").findall
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -85,21 +93,23 @@ class Model:
         out = np.stack([np.bincount(places, self.weights[found, k], len(unique)) for k in range(len(self.languages))], 1)
         return out + self.typical[[self.lexicon.get(w, -1) for w in unique]]
 
-    def label(self, texts: list[str]) -> list[tuple[str, float]]:
-        """The language of each text and the share of its words' probability that it has; (und, 0) without a letter."""
+    def label(self, texts: list[str]) -> list[tuple[str, float, float]]:
+        """The language of each text, the share of its words' probability that it has, and how clear its words are: the
+        mean probability of each word's own language; (und, 0, 0) without a letter."""
         found = [words(t) for t in texts]
         lengths = np.array([len(x) for x in found])
         if not lengths.sum() or not self.languages:
-            return [(UNKNOWN, 0.0)] * len(texts)
+            return [(UNKNOWN, 0.0, 0.0)] * len(texts)
         codes, unique = pd.factorize(np.array([w for x in found for w in x], object))
         marginal = forward_backward(self.emissions(list(unique))[codes], self.change, self.start, lengths[lengths > 0])
         with_words = np.flatnonzero(lengths)
         begins = np.concatenate(([0], np.cumsum(lengths[with_words])[:-1]))
         mean = np.add.reduceat(marginal, begins, axis=0) / lengths[with_words, None]
-        out = [(UNKNOWN, 0.0)] * len(texts)
-        for i, row in zip(with_words.tolist(), mean):
+        out = [(UNKNOWN, 0.0, 0.0)] * len(texts)
+        clear = np.add.reduceat(marginal.max(1), begins) / lengths[with_words]
+        for i, row, c in zip(with_words.tolist(), mean, clear.tolist()):
             k = int(row.argmax())
-            out[i] = self.languages[k], float(min(1.0, row[k]))
+            out[i] = self.languages[k], float(min(1.0, row[k])), min(1.0, c)
         return out
 
     def tag(self, text: str) -> list[tuple[str, str, float]]:
@@ -161,7 +171,7 @@ def forward_backward(scores: np.ndarray, change: np.ndarray, start: np.ndarray,
     return out / out.sum(1, keepdims=True)
 
 
-def chains(texts: list[tuple[str, str]], seed: int) -> tuple[list[str], np.ndarray]:
+def chains(texts: list[tuple[str, str]], seed: int, learn_words: int) -> tuple[list[str], np.ndarray]:
     """Words and languages of training chains: runs of words from documents of changing languages, CHAIN words each."""
     rng = np.random.default_rng(seed)
     pools: dict[str, list[str]] = {}
@@ -170,7 +180,7 @@ def chains(texts: list[tuple[str, str]], seed: int) -> tuple[list[str], np.ndarr
         pools.setdefault(texts[i][0], []).extend(words(texts[i][1]))
     pools = {k: v for k, v in sorted(pools.items()) if v}
     names, seen, labels = list(pools), [], []
-    room = min(LEARN_WORDS, max(64 * CHAIN * len(names), sum(map(len, pools.values()))))
+    room = min(learn_words * len(names), max(64 * CHAIN * len(names), sum(map(len, pools.values()))))
     while len(seen) < room:
         k = int(rng.integers(len(names)))
         pool, n = pools[names[k]], int(rng.integers(4, 120))
@@ -182,14 +192,15 @@ def chains(texts: list[tuple[str, str]], seed: int) -> tuple[list[str], np.ndarr
     return seen[:whole], np.array(labels[:whole], np.int64)
 
 
-def fit(texts: list[tuple[str, str]], passes: int = 3, rate: float = 0.3, seed: int = 7) -> Model:
-    """Fits the field to (language, text) pairs by adaptive gradient steps on the chains' conditional likelihood."""
+def fit(texts: list[tuple[str, str]], passes: int = 3, rate: float = 0.3, seed: int = 7, learn_words: int = LEARN_WORDS) -> Model:
+    """Fits the field to (language, text) pairs by adaptive gradient steps on the conditional likelihood of chains of
+    about `learn_words` words for each language."""
     languages = sorted({k for k, t in texts if words(t)})
     size = len(languages)
     empty = Model(languages, np.zeros((SIZE, size)), {}, np.zeros((size + 1, size)), np.zeros((size, size)), np.zeros(size))
     if size < 2:
         return empty
-    seen, labels = chains(texts, seed)
+    seen, labels = chains(texts, seed, learn_words)
     codes, unique = pd.factorize(np.array(seen, object))
     counts = np.zeros((len(unique), size))
     np.add.at(counts, (codes, labels), 1)
@@ -255,17 +266,25 @@ def gradient(scores: np.ndarray, labels: np.ndarray, change: np.ndarray, start:
     return truth - marginal, moves, (truth[:, 0] - marginal[:, 0]).sum(0)
 
 
-def learn(docs: DataFrame, learn_rows: int = LEARN_ROWS) -> Model:
-    """Fits on about `learn_rows` whole documents of each language that are not held out and have a text and a language."""
+def learn(docs: DataFrame, learn_rows: int = LEARN_ROWS, learn_chars: int = LEARN_CHARS, learn_words: int = LEARN_WORDS, languages: int = LANGUAGES) -> Model:
+    """Fits on about `learn_rows` documents of each language that are not held out and have a text and a language.
+
+    The driver gets `learn_chars` characters of each at most: a longer text gives a run from a place drawn by hash. Of
+    more languages than `languages` the most frequent are learned, and the field is fitted to `learn_words` words for
+    each. Rows that are equal in language and text count once among those drawn.
+    """
     usable = docs.select("doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null").filter(~held_out())
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 20))
     sample = usable.join(F.broadcast(counts), "lang").filter(draw < F.lit(float(learn_rows << 20)) / F.col("n"))  # a row per language
-    return fit(sorted((r["lang"], r["text"]) for r in sample.select("lang", "text").collect()))
+    spare = F.greatest(F.length("text") - learn_chars, F.lit(0)) + 1
+    run = F.substring(F.col("text"), (F.pmod(F.xxhash64(F.lit(12), "text"), spare) + 1).cast("int"), F.lit(learn_chars))
+    return fit(sorted({(r["lang"], r["text"]) for r in sample.select("lang", run.alias("text")).collect()}), learn_words=learn_words)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("lang_pred", "score"), keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of `docs` (all of them, if none are named) with the language and its score in `into`, from whole texts.
+def identify(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, ...] = ("lang_pred", "score"), keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of `docs` (all of them, if none are named) with what `Model.label` says of whole texts in
+    `into`: the language, its share, and, if a third column is named, how clear the words are.
 
     Texts that are null, empty or without a letter are `und` with score 0. Equal texts get the same language. Columns
     that are named like the results are replaced; no rows give no rows.
@@ -273,13 +292,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text", into: tuple[str,
     docs = docs.drop(*into)
     kept = keep or docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())])
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
+    schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(n, k) for n, k in zip(into, kinds))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for part, texts in bpe.sliced(batch, text):
                 found = model.label(texts)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([k for k, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], schema.names)
+                told = [pa.array(x, k) for x, k in zip(zip(*found), (pa.string(), pa.float64(), pa.float64()))][: len(into)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *told], schema.names)
 
     return docs.mapInArrow(run, schema)

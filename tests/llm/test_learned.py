@@ -117,7 +117,7 @@ def test_gradient_by_differences():
 
 def test_fit_without_much(spark):
     assert language.fit([]).languages == []
-    assert language.fit([("en", "only one language here")]).label(["a word", ""]) == [("en", 1.0), ("und", 0.0)]
+    assert language.fit([("en", "only one language here")]).label(["a word", ""]) == [("en", 1.0, 1.0), ("und", 0.0, 0.0)]
     random.seed(1)
     model = language.fit([("a", " ".join(random.choice(["aba", "abba"]) for _ in range(80))), ("b", " ".join(random.choice(["zyz", "zzy"]) for _ in range(80)))])
-    assert [x for x, _ in model.label(["aba abba", "zyz zzy zyz"])] == ["a", "b"]
+    assert [x for x, *_ in model.label(["aba abba", "zyz zzy zyz"])] == ["a", "b"]

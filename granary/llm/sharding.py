@@ -2,7 +2,8 @@
 
 The first pass scatters records uniformly into buckets that fit in memory, by a seeded hash of the record's number in
 the input. The second pass shuffles each bucket by itself: Spark's `shuffle` draws a Fisher-Yates permutation of the
-bucket's array. Buckets one after the other are a random order of all records, and shards are equal runs of it.
+bucket's array, and is written. Buckets one after the other are a random order of all records, and shards are equal runs
+of it: buckets are counted as they were written, so every record is numbered once and gets one place.
 
 Law `rows`: shard sizes differ by one record at most.
 """
@@ -12,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, staged
 
 #: Bytes that a bucket holds, about.
 BUCKET_BYTES = 32 << 20
+#: Buckets whose sizes are summed in one task.
+RUN = 4096
 #: More buckets than needed for memory keep many machines at work on small inputs.
 LEAST_BUCKETS = 1024
 
@@ -30,24 +33,28 @@ def shard(docs: DataFrame, shards: int, seed: int = 17, text: str = "text", buck
     operator needs for itself get other names if taken.
     """
     docs = docs.drop("shard", "slot")
-    number, bucket, record, records, at, first, total, rows = fresh(docs, "number", "bucket", "record", "records", "at", "first", "total", "rows")
-    held, size = docs.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 16)).first()
+    number, bucket, records, at, record, run, first, rows = fresh(docs, "number", "bucket", "records", "at", "record", "run", "first", "rows")
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 16)).first()[0]
     buckets = max(LEAST_BUCKETS, -(-(size or 0) // bucket_bytes))
     numbered = docs.withColumn(number, F.monotonically_increasing_id())
     scattered = numbered.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), number), F.lit(buckets)))
-    # where each bucket begins in the random order: a row for each bucket
-    counted = scattered.groupBy(bucket).agg(F.count(F.lit(1)).alias(rows))
-    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    begins = counted.select(bucket, F.coalesce(F.sum(rows).over(before), F.lit(0)).alias(first))
     # records arrive in the same order whenever a task runs, so the drawn permutation is the same as well
     ordered = scattered.repartition(F.col(bucket)).sortWithinPartitions(bucket, number)
     whole = ordered.groupBy(bucket).agg(F.collect_list(F.struct(*docs.columns)).alias(records))
-    drawn = whole.join(begins, bucket).select(first, F.posexplode(F.shuffle(records, F.lit(seed))).alias(at, record))
-    placed = drawn.withColumn(total, F.col(first) + F.col(at))
+    drawn = staged(whole.select(bucket, F.posexplode(F.shuffle(records, F.lit(seed))).alias(at, record)), "shuffled")
+    counted = drawn.groupBy(bucket).agg(F.count(F.lit(1)).alias(rows)).withColumn(run, F.floor(F.col(bucket) / RUN))
+    # where each bucket begins in the random order: sums within runs of buckets, and over a row for each run
+    before = lambda w: F.coalesce(F.sum(rows).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = counted.groupBy(run).agg(F.sum(rows).alias(rows)).select(run, before(Window.orderBy(run)).alias("_first"))
+    begins = counted.withColumn(first, before(Window.partitionBy(run).orderBy(bucket))).join(runs, run)
+    begins = begins.select(bucket, (F.col(first) + F.col("_first")).alias(first))
+    held = drawn.count()
+    placed = drawn.join(begins, bucket)
+    total = f"(`{first}` + `{at}`)"
     # shard s holds positions ceil(s * n / shards) to ceil((s + 1) * n / shards) - 1
-    number_of = F.expr(f"`{total}` * {shards} div {max(held, 1)}L")
+    number_of = F.expr(f"{total} * {shards} div {max(held, 1)}L")
     start = F.expr(f"(shard * {held}L + {shards - 1}) div {shards}")
-    return placed.withColumn("shard", number_of.cast("int")).select(f"{record}.*", "shard", (F.col(total) - start).cast("long").alias("slot"))
+    return placed.withColumn("shard", number_of.cast("int")).select(f"{record}.*", "shard", (F.expr(total) - start).cast("long").alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, **options) -> None:

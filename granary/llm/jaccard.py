@@ -17,12 +17,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import staged
+from .common import discard, fresh, staged
 from .components import components
 
 #: Sets in a block, about.
@@ -173,7 +173,7 @@ def verify(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"node": node[linked], "docs": docs[linked], "others": others[linked], "first": [node[top(x)] for x in linked]}).astype("int64")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999, rows: int = 5) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """One row per document: key, class_id, n_links, n_set_links.
 
     Two documents are linked if the sets of their word n-grams have a Jaccard similarity of `threshold` or more.
@@ -185,10 +185,26 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     Texts shorter than an n-gram are one n-gram. A null key is kept but names no class unless no other key is in it;
     repeated rows are copies of each other. No rows give no rows; other columns are ignored.
     """
+    signed, told = linked(docs, key, **options)
+    zero = F.lit(0).cast("long")
+    # documents without words match no set, so they need no join that would send them all to one task
+    found = signed.filter(F.col("gram_set").isNotNull()).join(told, "gram_set").select(
+        key,
+        F.coalesce(F.col("first")["key"], key).alias("class_id"),
+        F.coalesce(F.col("copies") - 1 + F.coalesce("docs", zero), zero).alias("n_links"),
+        F.coalesce("others", zero).alias("n_set_links"),
+    )
+    lone = signed.filter(F.col("gram_set").isNull()).select(key, F.col(key).alias("class_id"), zero.alias("n_links"), zero.alias("n_set_links"))
+    return found.unionAll(lone)
+
+
+def linked(docs: DataFrame, key: str, text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999, rows: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The signature of every document, and for every set of n-grams its copies, its links to other documents (`docs`)
+    and sets (`others`), and the first document of its class: key, or null if no key is in it, and digest of the text."""
     bands = bands_for(threshold, recall, rows)
     signed = signatures(docs, key, text, size, bands, rows).withColumn("node", F.monotonically_increasing_id())
     signed = staged(signed, "signatures", small=True)
-    sets = signed.filter(F.col("gram_set").isNotNull()).groupBy("gram_set").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies"), F.min(key).alias("first_key"))
+    sets = signed.filter(F.col("gram_set").isNotNull()).groupBy("gram_set").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "digest")).alias("first"))
     sets = staged(sets, "sets")
     ones = staged(signed.join(sets.select("node", "copies"), "node"), "ones")
     spread = ones.select("node", F.posexplode("bands").alias("band", "hash"))
@@ -214,16 +230,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     checked = staged(checked, "checked")
     links = checked.groupBy("node").agg(F.sum("docs").alias("docs"), F.sum("others").alias("others"))
     classes = components(checked.select(F.col("node").alias("a"), F.col("first").alias("b")))
-    named = sets.join(classes, "node").groupBy("root").agg(F.min("first_key").alias("class_key"))
-    known = links.join(classes, "node").join(named, "root").select("node", "docs", "others", "class_key")
-    told = staged(sets.join(known, "node", "left").select("gram_set", "copies", "docs", "others", F.coalesce("class_key", "first_key").alias("class_key")), "told")
-    zero = F.lit(0).cast("long")
-    return signed.join(told, "gram_set", "left").select(
-        key,
-        F.coalesce("class_key", key).alias("class_id"),
-        F.coalesce(F.col("copies") - 1 + F.coalesce("docs", zero), zero).alias("n_links"),
-        F.coalesce("others", zero).alias("n_set_links"),
-    )
+    named = sets.join(classes, "node").groupBy("root").agg(F.min("first").alias("class_first"))
+    known = links.join(classes, "node").join(named, "root").select("node", "docs", "others", "class_first")
+    told = staged(sets.join(known, "node", "left").select("gram_set", "copies", "docs", "others", F.coalesce("class_first", "first").alias("first")), "told")
+    discard(sets, ones, dealt, checked)
+    return signed, told
 
 
 def grams_of(held: DataFrame, size: int) -> DataFrame:
@@ -240,15 +251,25 @@ def grams_of(held: DataFrame, size: int) -> DataFrame:
     return held.select(*names, "_text").mapInArrow(run, schema)
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs` without further documents of a class: the one with the class's smallest key stays.
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of `docs` for each class of near copies: that with the smallest key, and of those the smallest by the
+    digest of its text. Rows equal in both are told apart by their other columns, of which the smallest stay.
 
-    Of equal rows one stays. Rows without a key, and rows that share the class's key but not all columns, all stay.
+    A row without a key stays only where its class has no key. Rows without words are copies of nothing and all stay.
     """
-    told = join(docs, key, **options).filter(F.col(key).isNotNull())
-    kept = told.groupBy(key).agg(F.max(F.col(key) == F.col("class_id")).alias("first"), F.count(F.lit(1)).alias("n")).filter("first")
-    kept = staged(kept, "kept")
-    # both joins read one shuffle of the documents; only ids that occur again are searched for equal rows
-    once = docs.join(kept.filter("n = 1").select(key), key, "left_semi").select(*docs.columns)
-    again = docs.join(kept.filter("n > 1").select(key), key, "left_semi").select(*docs.columns).dropDuplicates()
-    return once.unionByName(again).unionByName(docs.filter(F.col(key).isNull()).dropDuplicates())
+    mark, blank = fresh(docs, "mark", "blank")
+    signed, told = linked(docs, key, text, **options)
+
+    def marked(of: Column, digest: Column) -> Column:
+        return F.concat(digest, F.coalesce(F.concat(F.lit("="), of.cast("string")), F.lit("-")))
+
+    first = staged(told.select(marked(F.col("first")["key"], F.col("first")["digest"]).alias(mark)).distinct(), "first")
+    lone = signed.filter(F.col("gram_set").isNull()).select(marked(F.col(key), F.col("digest")).alias(mark)).distinct()
+    held = docs.withColumn(mark, marked(F.col(key), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    nothing = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""  # may be very many, and need no join
+    full = held.filter(~nothing)
+    order = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
+    # both joins read one shuffle of the documents, by which the rows of a mark are already together
+    once = full.join(first, mark, "left_semi").groupBy(mark).agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias(blank)).select(f"{blank}.*")
+    odd = full.join(lone, mark, "left_semi").select(*docs.columns)
+    return once.unionByName(odd).unionByName(docs.filter(nothing))

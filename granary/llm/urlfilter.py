@@ -71,7 +71,8 @@ def template(path: Column, depth: int) -> list[Column]:
 
 
 def judged(pages: DataFrame, tree: Tree) -> DataFrame:
-    """host, kind, rejected for each kind of path; `pages` has host, path, bad (1, 0, or null without a label)."""
+    """host, kind, template, labelled (pages of the template that have a label), purity (its smoothed share of good
+    pages) and rejected for each kind of path; `pages` has host, path, bad (1, 0, or null without a label)."""
     levels = [f"t{i}" for i in range(tree.depth)]
     kinds = pages.select("host", "bad", *(c.alias(t) for c, t in zip(template(F.col("path"), tree.depth), levels)))
     kinds = kinds.withColumn("kind", F.concat_ws("/", *levels))
@@ -86,8 +87,11 @@ def judged(pages: DataFrame, tree: Tree) -> DataFrame:
     hosts = hosts.crossJoin(F.broadcast(everything)).select("host", ((F.col("hb") + m * prior) / (F.col("hn") + m)).alias("by_host"))
     hosts = staged(hosts, "hosts")
 
+    def purity(bad: Column, n: Column) -> Column:
+        return 1 - (bad + m * F.col("by_host")) / (n + m)
+
     def rejected(bad: Column, n: Column) -> Column:
-        return 1 - (bad + m * F.col("by_host")) / (n + m) < tree.purity
+        return purity(bad, n) < tree.purity
 
     for i, level in enumerate(levels):
         if not used[level]:
@@ -104,14 +108,15 @@ def judged(pages: DataFrame, tree: Tree) -> DataFrame:
         # a branch's new name, found by the branch and put on all kinds below it
         named = branch.join(parent, above).select(*above, level, F.when(ended, "").otherwise(new).alias("new"))
         nodes = staged(nodes.join(named, [*above, level]).drop(level).withColumnRenamed("new", level), "kinds")
-    leaf = nodes.groupBy("host", *levels).agg(F.sum("n").alias("ln"), F.sum("b").alias("lb"))
-    pure = leaf.join(hosts, "host").withColumn("rejected", rejected(F.col("lb"), F.col("ln")))
-    refused = nodes.join(pure.filter("rejected").select("host", *levels), ["host", *levels])
-    return refused.select("host", "kind", F.lit(True).alias("rejected"))
+    leaf = nodes.groupBy("host", *levels).agg(F.sum("n").alias("labelled"), F.sum("b").alias("lb"))
+    leaf = leaf.join(hosts, "host").withColumn("purity", purity(F.col("lb"), F.col("labelled"))).withColumn("rejected", F.col("purity") < tree.purity)
+    shown = F.concat(F.lit("/"), F.array_join(F.filter(F.array(*levels), lambda x: x != ""), "/"))
+    return nodes.join(leaf, ["host", *levels]).select("host", "kind", shown.alias("template"), "labelled", "purity", "rejected")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], tree: Tree = Tree()) -> DataFrame:
-    """page_id, host, path, rule, verdict for every row of `pages` (page_id, url).
+    """page_id, host, path, rule, verdict for every row of `pages` (page_id, url), and its path's template with the
+    number of its labelled pages and its purity, by which the method decides.
 
     `labels` (page_id, bad: 1 or 0) need not cover all pages; rows with nulls are left out and the largest of several
     labels of a page counts. The longest rule that fits decides; else a page is blocked if its path's template is
@@ -121,9 +126,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], tree: Tree = T
     host, path = parsed(F.col("url"))
     placed = pages.select("page_id", host.alias("host"), path.alias("path"))
     marks = labels.filter("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").cast("int").alias("bad"))
-    refused = judged(placed.join(marks, "page_id", "left"), tree)
+    told = judged(placed.join(marks, "page_id", "left"), tree)
     kind = F.concat_ws("/", *template(F.col("path"), tree.depth))
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    found = placed.withColumn("kind", kind).join(refused, ["host", "kind"], "left")
+    found = placed.withColumn("kind", kind).join(told, ["host", "kind"])
     method = F.when(F.col("rejected"), "block").otherwise("allow")
-    return found.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, method).alias("verdict"))
+    return found.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "template", "labelled", "purity")

@@ -1,8 +1,14 @@
 """WARC and URL filters."""
 
+import base64
+import gzip
 import hashlib
 import io
 import json
+import math
+import random
+import re
+import zlib
 
 import duckdb
 import pytest
@@ -40,7 +46,8 @@ def test_query_gives_what_its_sql_gives(spark):
 def test_read_payloads(spark):
     pages = spark.createDataFrame([(1, "http://x/é", BIG), (2, "b", BIG)], "page_id long, url string, html string")
     back = {r.page_id: r for r in warc.read(staged(warc.write(pages, scratch(spark, "warc")), "archives"), payloads=True).collect()}
-    assert bytes(back[1].payload).decode() == BIG and back[1].url == "http://x/é" and back[2].payload is None and back[2].refers_to == 1
+    assert bytes(back[1].payload).decode() == BIG and back[1].url == "http://x/é" and back[1].payload_bytes == len(BIG.encode())
+    assert back[2].payload is None and back[2].payload_bytes is None and back[2].refers_to_record == back[1].record_id
 
 
 @pytest.mark.parametrize("url", ["http://a/b?c=d e", "", " x", "a\r\nWARC-Type: x", '"q"', "é\u2028", "null"])
@@ -61,15 +68,55 @@ def test_reader_frames_records_in_small_chunks(monkeypatch):
 
 
 def test_reader_rejects_damage():
-    data = archive(b"payload " * 40)
-    with pytest.raises(warc.BadRecord, match="ends within"):
-        list(warc.records(io.BytesIO(data[:-9])))
-    import zlib
-
-    plain = zlib.decompress(data, 31)
-    for wrong in (plain.replace(b"payload payload", b"payload PAYLOAD", 1), plain.replace(b"Content-Length: 4", b"Content-Length: 3", 1), plain[4:]):
+    data = archive(b"one", b"payload " * 40)
+    for cut in (1, 9, len(archive(b"one")) + 5):
+        with pytest.raises(warc.BadRecord, match="ends within"):
+            list(warc.records(io.BytesIO(data[: len(data) - cut] if cut < 10 else data[:cut])))
+    plain = zlib.decompress(archive(b"payload " * 40), 31)
+    for wrong in (plain.replace(b"payload payload", b"payload PAYLOAD", 1), plain.replace(b"Content-Length: 4", b"Content-Length: 3", 1), plain.replace(b"Content-Length: 4", b"Content-Length: 5", 1), plain[4:], plain + b"x", plain.replace(b"Content-Length: 4", b"Content-Length: x4", 1)):
+        with pytest.raises(warc.BadRecord):
+            list(warc.records(io.BytesIO(gzip.compress(wrong))))
+    for broken in (data[:40] + b"\xff\xff\xff" + data[43:], b"not gzip"):
         with pytest.raises(warc.BadRecord):
-            list(warc.records(io.BytesIO(__import__("gzip").compress(wrong))))
+            list(warc.records(io.BytesIO(broken)))
+
+
+def foreign(head, block):
+    return gzip.compress(b"\r\n".join([b"WARC/1.0", *head, b"Content-Length: %d" % len(block)]) + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 64, 1 << 16])
+def test_records_of_other_writers(monkeypatch, chunk):
+    monkeypatch.setattr(warc, "CHUNK", chunk)
+    block = b"HTTP/1.0 200 OK\r\nA: b\r\n\r\n<html>" + b"x" * 300
+    sha1 = base64.b32encode(hashlib.sha1(block).digest())
+    md5 = base64.b64encode(hashlib.md5(b"<html>" + b"x" * 300).digest())
+    data = foreign([b"WARC-Type:warcinfo", b"Content-Type: application/warc-fields"], b"software: other\r\n")
+    data += foreign([b"warc-type: response", b"WARC-Target-URI:http://x/", b"Content-type: application/http;msgtype=response", b"WARC-Block-Digest: sha1:" + sha1, b"WARC-Payload-Digest: md5:" + md5, b"WARC-Folded: one", b"  two"], block)
+    data += foreign([b"WARC-Type: resource", b"WARC-Block-Digest: unheard-of:abc"], b"")
+    info, page, empty = warc.records(io.BytesIO(data))
+    assert (info.kind, info.payload) == ("warcinfo", b"software: other\r\n")
+    assert page.payload == block.partition(b"\r\n\r\n")[2] and page.headers["WARC-Target-uri"] == "http://x/" and page.headers.get("WARC-FOLDED") == "one two"
+    assert empty.payload == b"" and empty.headers.get("none") is None
+    with pytest.raises(warc.BadRecord, match="block digest"):
+        list(warc.records(io.BytesIO(foreign([b"WARC-Block-Digest: sha1:" + sha1], block[:-1] + b"y"))))
+
+
+def stored(spark, tmp_path, *members):
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(members))
+    return staged(warc.read(spark.createDataFrame([(f"file://{path}",)], "archive string")), "records")
+
+
+def test_revisits_are_resolved_and_sizes_are_measured(spark, tmp_path):
+    first = foreign([b"WARC-Type: response", b"X-Payload-Length: 999", b"X-Page-ID: 4", b"WARC-Record-ID: <urn:a>"], b"p" * 200)
+    digest = hashlib.sha256(b"p" * 200).hexdigest()
+    again = [b"WARC-Type: revisit", b"X-Page-ID: 6", b"WARC-Refers-To: <urn:a>"]
+    got = warc.resolved(stored(spark, tmp_path, first, foreign([*again, b"WARC-Payload-Digest: sha256:" + digest.encode()], b""))).collect()
+    assert sorted(map(tuple, got)) == [(4, 200, digest, "response", None), (6, 200, digest, "revisit", 4)]
+    for wrong in ([*again, b"WARC-Payload-Digest: sha256:" + b"0" * 64], [*again[:2], b"WARC-Refers-To: <urn:b>"], again[:2]):
+        with pytest.raises(Exception, match="does not have the payload"):
+            warc.resolved(stored(spark, tmp_path, first, foreign(wrong, b""))).collect()
 
 
 URLS = [
@@ -89,7 +136,7 @@ URLS = [
 def test_rules(spark):
     pages = spark.createDataFrame([(i, u[0], "x", "y") for i, u in enumerate(URLS)], "page_id long, url string, host string, verdict string")
     labels = spark.createDataFrame([], "page_id long, bad int")
-    got = {r.page_id: tuple(r)[1:] for r in urlfilter.judge(pages, labels, RULES).collect()}
+    got = {r.page_id: tuple(r)[1:5] for r in urlfilter.judge(pages, labels, RULES).collect()}
     assert got == {i: u[1:] for i, u in enumerate(URLS)}
     assert urlfilter.judge(pages.limit(0), labels, RULES).count() == 0
 
@@ -141,3 +188,68 @@ def test_rare_segments_are_judged_together_beside_a_large_one(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string")
     got = urlfilter.judge(pages, spark.createDataFrame(marks, "page_id long, bad int"), []).filter("verdict = 'block'").collect()
     assert {r.page_id for r in got} == set(range(60))
+
+
+def brute_tree(rows, marks, tree=urlfilter.Tree()):
+    """Verdicts by the same rules, node by node in plain Python."""
+    bad = {}
+    for i, b in marks:
+        bad[i] = max(b, bad.get(i, 0))
+    kinds, of = {}, {}
+    for i, url in rows:
+        host, path = url.split("://", 1)[1].split("/", 1)
+        parts = [x for x in re.sub("[0-9]+", "#", path).split("/") if x]
+        parts = [*parts[: tree.depth - 1], *["/".join(parts[tree.depth - 1 :])] * (len(parts) >= tree.depth)]
+        kind = of[i] = host, *parts, *[""] * (tree.depth - len(parts))
+        n, b = kinds.get(kind, (0, 0))
+        kinds[kind] = (n + (i in bad), b + bad.get(i, 0))
+    m = tree.smoothing
+    total = [sum(x[k] for x in kinds.values()) for k in (0, 1)]
+    prior = total[1] / total[0] if total[0] else 0.0
+    share = {}
+    for host in {k[0] for k in kinds}:
+        n, b = (sum(x[j] for k, x in kinds.items() if k[0] == host) for j in (0, 1))
+        share[host] = (b + m * prior) / (n + m)
+    good = lambda host, b, n: 1 - (b + m * share[host]) / (n + m)
+    named = {k: k for k in kinds}
+    for level in range(1, tree.depth + 1):
+        count = {}
+        for k in kinds:
+            for at in (named[k][:level], named[k][: level + 1]):
+                n, b = count.get(at, (0, 0))
+                count[at] = (n + kinds[k][0], b + kinds[k][1])
+        for k in kinds:
+            own = named[k]
+            (pn, pb), (bn, bb) = count[own[:level]], count[own[: level + 1]]
+            alike = not pn or not bn or abs(bb / bn - pb / pn) <= tree.alike * math.sqrt(pb / pn * (1 - pb / pn) / bn)
+            rare = (good(k[0], bn, bn) < tree.purity) == (good(k[0], 0, bn) < tree.purity)
+            if own[level] and (alike or rare):
+                named[k] = (*own[:level], "*", *own[level + 1 :])
+    leaf = {}
+    for k in kinds:
+        n, b = leaf.get(named[k], (0, 0))
+        leaf[named[k]] = (n + kinds[k][0], b + kinds[k][1])
+    purity = {k: good(k[0], leaf[named[k]][1], leaf[named[k]][0]) for k in kinds}
+    return {i: ("block" if purity[k] < tree.purity else "allow", purity[k]) for i, k in of.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_tree_by_brute_force(spark, seed):
+    random.seed(seed)
+    rows, marks = [], []
+    for host in range(3):
+        rates = {w: random.choice([0, 0.05, 0.5, 0.9, 1]) for w in [f"s{chr(97 + i)}" for i in range(random.choice([3, 30]))]}
+        for w, rate in rates.items():
+            for k in range(random.choice([1, 3, 40, 120])):
+                deep = "/".join(random.choice(["x", "y", "9z", "w"]) for _ in range(random.randrange(0, 8)))
+                i = len(rows)
+                rows.append((i, f"http://h{host}.org/{w}/{deep}"))
+                if random.random() < 0.7:
+                    marks.append((i, int(random.random() < rate)))
+    rows.append((len(rows), "http://h0.org/" + "very/long" * 4000))
+    pages = spark.createDataFrame(rows + rows[:3], "page_id long, url string")
+    got = urlfilter.judge(pages, spark.createDataFrame(marks, "page_id long, bad int"), []).collect()
+    want = brute_tree(rows + rows[:3], marks)
+    assert len(got) == len(rows) + 3 and {r.verdict for r in got} == {"block", "allow"}
+    for r in got:
+        assert (r.verdict, r.purity) == (want[r.page_id][0], pytest.approx(want[r.page_id][1]))

@@ -15,12 +15,16 @@ from granary.llm.common import fresh, ship, staged, table
 
 #: A document is toxic from this probability on.
 TOXIC = 0.3
-#: A document's words are a medley of no language if less of their probability than this is its language's.
-LEAST_SHARE = 0.3
+#: A document's words are of no language if, on the average, each word's own language is less likely than this.
+LEAST_CLEAR = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of being toxic is below TOXIC. The model learns from the labelled rows of `docs`."""
+    """Documents whose probability of being toxic is below TOXIC. The model learns from the labelled rows of `docs`.
+
+    Null, empty and wordless texts get the share of toxic labels and so stay where that is below TOXIC; whole texts are
+    scored, however long; equal texts go or stay together, and each of repeated rows is judged. No rows give no rows.
+    """
     ship(spark)
     (score,) = fresh(docs, "score")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -28,21 +32,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language: words, most of which are not spread over all languages."""
+    """Documents that have words, each of which is clearly of some language (not of the same one: texts that switch
+    between languages stay).
+
+    Null texts, empty ones and those without a letter are of no language and go. Whole texts are read, however long;
+    equal texts and repeated rows go or stay together. Where no document names a language, none has one, and all go.
+    """
     ship(spark)
-    name, share = fresh(docs, "lang_pred", "share")
-    named = language.identify(docs, language.learn(docs), into=(name, share))
-    return named.filter((F.col(name) != language.UNKNOWN) & (F.col(share) >= LEAST_SHARE)).drop(name, share)
+    name, share, clear = fresh(docs, "lang_pred", "share", "clear")
+    named = language.identify(docs, language.learn(docs), into=(name, share, clear))
+    return named.filter((F.col(name) != language.UNKNOWN) & (F.col(clear) >= LEAST_CLEAR)).drop(name, share, clear)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the smallest doc_id."""
+    """One document of each class of near copies, the one with the smallest doc_id.
+
+    Repeated rows are copies, of which one stays; a row with a null doc_id stays only where its class has no other;
+    ties of doc_id are broken by the text's digest and then by the other columns. Texts without words (null, empty) are
+    copies of nothing and all stay. Whole texts are compared, however long. No rows give no rows.
+    """
     ship(spark)
     return jaccard.keep_one(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each piece of each document in sequences of 1024 tokens."""
+    """The place of each piece of each document in sequences of 1024 tokens.
+
+    Null and empty texts are one end token; texts of more tokens than a sequence are cut into pieces; repeated rows and
+    equal texts are packed each; a null doc_id is kept. No rows give no rows.
+    """
     ship(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 

@@ -2,28 +2,37 @@
 
 Vectors are scaled to length one, where the nearest by angle is the nearest by distance, and projected onto a few
 Gaussian directions. The Gaussian law is 2-stable: a projected squared distance divided by the true one is chi-square
-with as many degrees of freedom as there are directions. A segment of vectors keeps its projections in a kd-tree; a
-search takes the tree's leaves in the order of their distance from the projected query and verifies their points on
-the original vectors, until the chi-square test says that a point so far away is nearer than the k-th found with a
-probability of at most 1 - `sure`.
+with as many degrees of freedom as there are directions.
+
+The projections are indexed by a kd-tree in two parts. Its upper levels, split at the medians of a bounded sample, deal
+all vectors into cells; a cell's segments of bounded size keep the lower levels. A query first goes to its own cell, then
+to the cells that are not too far off, where leaves are taken in the order of their distance from the projected query.
+Their points are verified on the original vectors, until the chi-square test says that a point so far away is nearer
+than the k-th found with a probability of at most 1 - `sure`.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 DIRECTIONS = 16
 LEAF = 64
-#: Vectors in a segment and queries in a block, about and at most.
+#: Vectors in a segment, and queries that it answers at once, about.
 SEGMENT = 8192
 QUERY_BLOCK = 4096
+#: Cells of the vectors of a length at most, and vectors that their splits are fitted to, about.
+CELLS = 4096
+SAMPLE = 32_768
 
 
 def chi_square(x: float, freedom: int) -> float:
@@ -43,6 +52,39 @@ def quantile(p: float, freedom: int) -> float:
     return high
 
 
+def directed(length: int, directions: int, seed: int) -> np.ndarray:
+    """The directions that vectors of a length are projected on."""
+    return np.random.default_rng(seed).standard_normal((length, directions))
+
+
+def projected(vectors: np.ndarray, directions: int, seed: int) -> np.ndarray:
+    return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ directed(vectors.shape[1], directions, seed)
+
+
+def splits(points: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The upper levels of a kd-tree: side and value at which each node is halved, level by level."""
+    side, value = np.zeros(2**depth - 1, np.int64), np.zeros(2**depth - 1)
+    held = [np.arange(len(points))]
+    for node in range(2**depth - 1):
+        at = held[node]
+        if len(at):
+            side[node] = int((points[at].max(0) - points[at].min(0)).argmax())
+            value[node] = np.median(points[at, side[node]])
+        right = points[at, side[node]] > value[node]
+        held += [at[~right], at[right]]
+    return side, value
+
+
+def cell_of(points: np.ndarray, tree: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    node = np.zeros(len(points), np.int64)
+    if tree is None:
+        return node
+    side, value = tree
+    for _ in range(int(math.log2(len(side) + 1))):
+        node = 2 * node + 1 + (points[np.arange(len(points)), side[node]] > value[node])
+    return node - len(side)
+
+
 def leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
     """The leaves of a kd-tree: halves along the widest side until at most `size` points are left."""
     out, open_ = [], [np.arange(len(points))]
@@ -58,45 +100,52 @@ def leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
     return out
 
 
+def reach_of(cosine: float, limit: float) -> float:
+    """Squared projected distance from which the test holds for a k-th nearest of this cosine."""
+    return limit * max(0.0, 2 - 2 * cosine) + 1e-12
+
+
 class Segment:
     """Vectors with the kd-tree of their projections."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: np.ndarray):
-        projected = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ directions
-        held = leaves(projected, LEAF)
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray):
+        held = leaves(points, LEAF)
         order = np.concatenate(held)
-        self.ids, self.vectors, self.projected = ids[order], vectors[order], projected[order]
+        self.ids, self.vectors, self.points = ids[order], vectors[order], points[order]
         self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
         self.ends = np.cumsum([0, *(len(x) for x in held)])
-        self.low = np.array([projected[x].min(0) for x in held])
-        self.high = np.array([projected[x].max(0) for x in held])
+        self.low = np.array([points[x].min(0) for x in held])
+        self.high = np.array([points[x].max(0) for x in held])
 
-    def search(self, own: int, query: np.ndarray, point: np.ndarray, k: int, limit: float) -> list[tuple[float, int]]:
-        """The k nearest found as (cosine, id), nearest first; the query's own row, of its id and vector, takes no part."""
+    def search(self, query: np.ndarray, point: np.ndarray, k: int, limit: float, least: float = -math.inf) -> list[tuple[float, int, bool]]:
+        """The k nearest found of a cosine of `least` or more, nearest first: cosine, id, and whether the vector is the query's."""
         gap = np.maximum(0, np.maximum(self.low - point, point - self.high))
         far = (gap * gap).sum(1)
         norm = math.sqrt((query * query).sum())
-        found: list[tuple[float, int]] = []
-        reach = math.inf  # squared projected distance from which the test holds
-        for leaf in np.argsort(far):
-            if far[leaf] >= reach:
-                break
-            rows = slice(self.ends[leaf], self.ends[leaf + 1])
-            away = self.projected[rows] - point
-            near = np.flatnonzero((away * away).sum(1) < reach) + rows.start
-            same = self.ids[near] == own
-            if same.any():
-                same[same] = (self.vectors[near[same]] == query).all(1)
-                near = near[~same]
-            if not len(near):
-                continue
+        found: list[tuple[float, int, bool]] = []
+        reach = reach_of(least, limit) if least > -math.inf else math.inf
+        order = np.argsort(far, kind="stable")
+        at, step = 0, 1
+        while at < len(order) and far[order[at]] < reach:
+            some = order[at : at + step]
+            some = some[far[some] < reach]
+            at, step = at + step, min(2 * step, 32)
+            start, count = self.ends[some], self.ends[some + 1] - self.ends[some]
+            near = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            away = self.points[near] - point
+            near = near[(away * away).sum(1) < reach]
             cosine = (self.vectors[near] * query).sum(1) / (self.norms[near] * norm)
+            better = cosine >= max(least, found[-1][0] if len(found) == k else -math.inf)
+            if not better.any():
+                continue
+            cosine, near = cosine[better], near[better]
+            if len(cosine) > k:
+                best = np.lexsort((self.ids[near], -cosine))[:k]
+                cosine, near = cosine[best], near[best]
+            same = (self.vectors[near] == query).all(1)
+            found = sorted([*found, *zip(cosine.tolist(), self.ids[near].tolist(), same.tolist())], key=lambda x: (-x[0], x[1]))[:k]
             if len(found) == k:
-                better = cosine >= found[-1][0]
-                cosine, near = cosine[better], near[better]
-            found = sorted([*found, *zip(cosine.tolist(), self.ids[near].tolist())], key=lambda x: (-x[0], x[1]))[:k]
-            if len(found) == k:
-                reach = limit * max(0.0, 2 - 2 * found[-1][0]) + 1e-12
+                reach = min(reach, reach_of(found[-1][0], limit))
         return found
 
 
@@ -109,57 +158,130 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return held.distinct().withColumn("length", F.size("v"))
 
 
-def directed(length: int, directions: int, seed: int) -> np.ndarray:
-    """The directions that vectors of a length are projected on."""
-    return np.random.default_rng(seed).standard_normal((length, directions))
+def placed(held: DataFrame, trees, directions: int, seed: int) -> DataFrame:
+    """`held` (id, v, length) with the projection `p` and the cell of each vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for length in sorted(set(batch.column("length").to_pylist())):
+                part = batch.filter(pa.compute.equal(batch.column("length"), length))
+                points = projected(matrix(part.column("v"), length), directions, seed)
+                cells = pa.array(cell_of(points, trees.value.get(length)))
+                p = pa.ListArray.from_arrays(pa.array(np.arange(0, points.size + 1, directions), pa.int32()), pa.array(points.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), part.column("length"), p, cells], ["id", "v", "length", "p", "cell"])
+
+    return held.select("id", "v", "length").mapInArrow(run, "id long, v array<double>, length int, p array<double>, cell long")
 
 
-def searcher(shared, directions: int, seed: int, k: int, limit: float):
-    """Builds a segment's tree and answers those of a block of queries that have its vectors' length."""
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        vectors = np.array(group["v"].tolist(), float)
-        length, out = vectors.shape[1], []
-        if length in shared.value:
-            planes = directed(length, directions, seed)
-            tree = Segment(group["id"].to_numpy(np.int64), vectors, planes)
-            ids, numbers, queries = shared.value[length]
-            points = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ planes
-            for q, number, x, p in zip(ids.tolist(), numbers.tolist(), queries, points):
-                out += [(q, number, i, s) for s, i in tree.search(q, x, p, k, limit)]
-        return pd.DataFrame(out, columns=["query_id", "query_row", "vec_id", "score"])
+
+def answer(k: int, limit: float):
+    """Searches a segment for a block of queries that visit it."""
+
+    def run(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(points) and len(asked):
+            stacked = lambda x: np.stack(x.to_numpy())
+            tree = Segment(points["id"].to_numpy(np.int64), stacked(points["v"]), stacked(points["p"]))
+            for number, v, p, least in zip(asked["number"].tolist(), stacked(asked["v"]), stacked(asked["p"]), asked["least"].tolist()):
+                out += [(number, i, s, same) for s, i, same in tree.search(v, p, k, limit, least)]
+        return pd.DataFrame(out, columns=["number", "vec_id", "score", "same"])
 
     return run
 
 
+def visited(points: DataFrame, visits: DataFrame, cells: DataFrame, k: int, limit: float) -> DataFrame:
+    """number, vec_id, score, same: what each query finds in the cells that it visits.
+
+    `visits`: length, cell, number, v, p, least. A cell's segments and blocks of queries are bounded; each block of
+    queries meets each segment of the cell in one group.
+    """
+    blocks = visits.groupBy("length", "cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))
+    split = cells.join(F.broadcast(blocks), ["length", "cell"]).select("length", "cell", "segments", "blocks")  # a row per cell
+    group = ["length", "cell", "segment", "block"]
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    here = points.join(F.broadcast(split), ["length", "cell"]).withColumn("segment", F.pmod(F.xxhash64("id", "v"), F.col("segments")).cast("int")).withColumn("block", each("blocks"))
+    there = visits.join(F.broadcast(split), ["length", "cell"]).withColumn("block", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int")).withColumn("segment", each("segments"))
+    here, there = here.select(*group, "id", "v", "p"), there.select(*group, "number", "v", "p", "least")
+    return here.groupBy(*group).cogroup(there.groupBy(*group)).applyInPandas(answer(k, limit), "number long, vec_id long, score double, same boolean")
+
+
 def search(rows: DataFrame, every: int, k: int = 5, sure: float = 0.95, key: str = "vec_id", vector: str = "embedding", seed: int = 29, directions: int = DIRECTIONS) -> DataFrame:
     """The `k` nearest found to each row whose id `every` divides: query_id, rank, vec_id, score, query_row.
 
-    All rows are indexed, also those that repeat an id with another vector, and each vector is compared with all others
-    of its length. A row with a null id or vector, with null or non-finite components, or a zero vector takes no part,
-    and rows equal in id and vector count once. Candidates are all rows but the query's own; ties go to the smaller id.
-    Each row of a repeated query id is a query: query_row numbers them from 1 in the order of their vectors. With fewer
-    candidates than `k` there are fewer ranks; no rows give no rows; other columns are ignored.
+    Every row is a candidate, also those that repeat an id with another vector, and each vector is compared with all
+    others of its length. A row with a null id or vector, with null or non-finite components, or a zero vector takes no
+    part, and rows equal in id and vector count once. Candidates are all rows but the query's own; ties go to the
+    smaller id, so of rows with equal vectors the index needs the k + 1 of the smallest ids only, and a vector that
+    very many rows share has no more places than that. Each row of a repeated query id is a query: query_row numbers
+    them from 1 in the order of their vectors. With fewer candidates than `k` there are fewer ranks; no rows give no
+    rows; other columns are ignored.
+
+    `SAMPLE` vectors, drawn by hash, place the splits between cells; all are indexed.
     """
     spark = rows.sparkSession
-    held = staged(usable(rows, key, vector), "vectors")
     limit = quantile(sure, directions)
-    # a row per length of vector
-    sizes = held.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / SEGMENT).alias("segments"))
-    dealt = held.join(F.broadcast(sizes), "length").withColumn("segment", F.pmod(F.xxhash64(F.lit(seed), "id", "v"), F.col("segments")))
-    number = F.row_number().over(Window.partitionBy("id").orderBy("length", "v"))
-    asked = staged(held.filter(F.col("id") % every == 0).withColumn("number", number), "queries", small=True)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = None
-    for block in range(blocks):  # a block of queries is bounded, whatever their number
-        # by rows, as one id may have very many
-        mine = asked.filter(F.pmod(F.xxhash64(F.lit(seed + 1), "id", "number"), F.lit(blocks)) == block).toPandas()
-        parts = {n: (x["id"].to_numpy(np.int64), x["number"].to_numpy(np.int64), np.array(x["v"].tolist(), float)) for n, x in mine.groupby("length")}
-        shared = spark.sparkContext.broadcast(parts)
-
-        part = dealt.groupBy("length", "segment").applyInPandas(searcher(shared, directions, seed, k, limit), "query_id long, query_row long, vec_id long, score double")
-        part = staged(part, "neighbours") if blocks > 1 else part
-        found = part if found is None else found.unionAll(part)
-    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score", "query_row")
+    whole = staged(usable(rows, key, vector), "vectors")
+    first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    held = staged(whole.withColumn("place", first).filter(F.col("place") <= k + 1).drop("place"), "distinct")
+    sizes = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per length
+    depth = {n: max(0, math.ceil(math.log2(min(CELLS, size / SEGMENT)))) for n, size in sizes.items()}
+    share = min(1.0, SAMPLE / max(sum(sizes.values()), 1))
+    drawn = held.filter(F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).filter(F.col("length").isin([n for n, d in depth.items() if d]))
+    trees, sample = {}, drawn.select("length", "v").toPandas() if any(depth.values()) else pd.DataFrame({"length": [], "v": []})
+    for n, part in sample.groupby("length"):
+        trees[n] = splits(projected(np.stack(part["v"].to_numpy()), directions, seed), depth[n])
+    shared = spark.sparkContext.broadcast(trees)  # CELLS splits for each length
+    points = staged(placed(held, shared, directions, seed), "points")
+    box = [f(F.col("p")[i]).alias(f"{n}{i}") for n, f in (("low", F.min), ("high", F.max)) for i in range(directions)]
+    cells = staged(points.groupBy("length", "cell").agg(F.ceil(F.count(F.lit(1)) / SEGMENT).cast("int").alias("segments"), *box), "cells", small=True)
+    own = F.row_number().over(Window.partitionBy("id").orderBy("length", "v"))
+    queries = whole.filter(F.col("id") % every == 0).withColumn("query_row", own).withColumnRenamed("id", "query_id")
+    # equal vectors ask once, for one more, as each has itself among the nearest
+    asked = placed(queries.select(F.lit(0).cast("long").alias("id"), "v", "length").distinct(), shared, directions, seed)
+    asked = staged(asked.withColumn("number", F.monotonically_increasing_id()).drop("id"), "queries", small=True)
+    queries = staged(queries.join(asked.select("v", "number"), "v").select("query_id", "query_row", "number"), "asked", small=True)
+    nowhere = F.lit(-math.inf).alias("least")
+    near = staged(visited(points, asked.select("length", "cell", "number", "v", "p", nowhere), cells, k + 1, limit), "near", small=True)
+    best = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
+    top = lambda df: df.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k + 1)
+    so_far = top(near).groupBy("number").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).alias("least"))
+    waiting = asked.join(so_far, "number", "left").withColumn("least", F.coalesce("least", nowhere))
+    boxes: dict[int, list] = {}
+    for r in cells.collect():  # CELLS rows at most for each length
+        boxes.setdefault(r["length"], []).append(r)
+    boxes = {n: (np.array([r["cell"] for r in x]), *(np.array([[r[f"{s}{i}"] for i in range(directions)] for r in x]) for s in ("low", "high"))) for n, x in boxes.items()}
+    other = waiting.mapInArrow(further(spark.sparkContext.broadcast(boxes), limit), waiting.schema)
+    other = staged(other, "visits")
+    far = staged(visited(points, other, cells, k + 1, limit), "far", small=True)
+    nearest = top(near.unionAll(far)).select("number", "vec_id", "score", "same")
+    theirs = queries.join(nearest, "number").filter(~(F.col("same") & (F.col("vec_id") == F.col("query_id"))))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id"))
+    discard(whole, held, points, cells, asked, other)
+    return theirs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_row")
+
+
+def further(boxes, limit: float):
+    """Each query with every cell but its own that may hold a nearer vector than its k-th so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, home, least = (batch.column(c).to_pylist() for c in ("length", "cell", "least"))
+            owner, there, held = [], [], 0
+            for at in range(batch.num_rows):
+                cell, low, high = boxes.value[lengths[at]]
+                point = np.array(batch.column("p")[at].as_py())
+                gap = np.maximum(0, np.maximum(low - point, point - high))
+                reach = reach_of(least[at], limit) if least[at] > -math.inf else math.inf
+                go = cell[((gap * gap).sum(1) < reach) & (cell != home[at])]
+                owner.append(np.full(len(go), at))
+                there.append(go)
+                held += len(go)
+                if held and (held >= CELLS or at == batch.num_rows - 1):
+                    out = batch.take(pa.array(np.concatenate(owner).astype(np.int64)))
+                    yield out.set_column(out.schema.get_field_index("cell"), "cell", pa.array(np.concatenate(there), pa.int64()))
+                    owner, there, held = [], [], 0
+
+    return run

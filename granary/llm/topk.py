@@ -1,11 +1,14 @@
-"""Exact top-k search by BM25 over an inverted index, with block-max pruning, shard by shard.
+"""Exact top-k search by BM25: an inverted index per shard, searched by block-max WAND.
 
 Every shard of documents has an inverted index of its own. Its documents lie in an order in which similar ones are
-neighbours, in blocks of BLOCK; for each term and block the index can tell the largest score that the term adds there.
-Queries are answered many at a time, block by block: a block is passed over for a query if its terms' largest scores
-there do not add up to more than the k-th best score that the query has so far. Document frequencies, the number of
-documents and their mean length are those of all shards, so scores of different shards compare, and merging the
-shards' best k is exact.
+neighbours, and each term's posting list is cut into blocks of BLOCK documents, of which the index knows the largest
+score. A query has a cursor on the list of each of its terms. Its pivot is the first block up to which the cursors'
+terms could, by their lists' largest scores, reach the k-th best score found so far; all blocks before it are skipped.
+At the pivot the lagging cursors move up, and the blocks' own largest scores are added: only if these reach the
+threshold as well are the postings of the block read. Cursors move a block at a time, for many queries at once.
+
+Document frequencies, the number of documents and their mean length are those of all shards, so scores of different
+shards compare, and merging the shards' best k is exact.
 """
 
 from __future__ import annotations
@@ -17,30 +20,31 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import staged
+from .common import _paths, discard, scratch, staged
 
 K1, B = 1.2, 0.75
 #: Documents, and characters, in a shard at most, but for what one slice of texts holds.
 SHARD, SHARD_CHARS = 4096, 20_000_000
 BLOCK = 64
-#: Neighbouring blocks that are scored together.
-GROUP = 4
-#: Queries that a pass over the shards answers, and those of them that are scored together.
-QUERY_BLOCK = 4096
-TOGETHER = 1024
+#: Terms of the queries that a pass over the shards answers, about, and queries that move together.
+PASS_TERMS = 4 << 20
+TOGETHER = 512
 #: Common terms by which documents are put in order.
 LEADING = 64
-#: A term in more than this part of a shard's documents is kept as a row over all of them.
+#: A list of more than this part of a shard's documents keeps its blocks as rows of scores.
 COMMON = 1 / 24
 
 find_words = re.compile(r"[^\W_]+").findall
 SCHEMA = "ids binary, lengths binary, terms binary, ends binary, posts binary, times binary, n long, words long"
 TYPES = {"ids": "<i8", "lengths": "<i8", "terms": "<u8", "ends": "<i8", "posts": "<i4", "times": "<i4"}
+HITS = "number long, query_id long, doc_id long, score double"
 
 
 def term_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,14 +59,35 @@ def term_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return both // len(unique), hashes[both % len(unique)], times, lengths
 
 
+def similar_order(owner: np.ndarray, term: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+    """Documents by their part in the main direction of the commonest terms: those of one language come together."""
+    unique, place, count = np.unique(term, return_inverse=True, return_counts=True)
+    lead = np.argsort(-count, kind="stable")[:LEADING]
+    slot = np.full(len(unique), -1)
+    slot[lead] = np.arange(len(lead))
+    mark = slot[place] >= 0
+    small = np.zeros((len(lead), n))
+    small[slot[place[mark]], owner[mark]] = times[mark] / (times[mark] + K1)
+    small -= small.mean(1, keepdims=True)
+    x = np.cos(np.arange(n))
+    for _ in range(4 if len(lead) else 0):
+        x = small.T @ (small @ x)
+        x /= np.linalg.norm(x) or 1
+    return np.argsort(x, kind="stable")
+
+
 def build(ids: list, parts: list[tuple]) -> dict:
     """The index of a shard from the term counts of runs of its documents."""
     first = np.cumsum([0, *(len(p[3]) for p in parts)])
-    owner = np.concatenate([p[0] + at for p, at in zip(parts, first)]).astype(np.int32)
+    owner = np.concatenate([p[0] + at for p, at in zip(parts, first)])
     term, times, lengths = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
-    order = np.argsort(term, kind="stable")  # documents stay in their order within a term
-    terms, starts = np.unique(term[order], return_index=True)
-    columns = {"ids": np.array(ids, "<i8"), "lengths": lengths, "terms": terms, "ends": np.append(starts, len(term)), "posts": owner[order], "times": times[order]}
+    order = similar_order(owner, term, times, len(ids))
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    owner = place[owner]
+    by = np.lexsort((owner, term))  # documents in their order within a term
+    terms, starts = np.unique(term[by], return_index=True)
+    columns = {"ids": np.array(ids, "<i8")[order], "lengths": lengths[order], "terms": terms, "ends": np.append(starts, len(term)), "posts": owner[by], "times": times[by]}
     return {k: v.astype(TYPES[k]).tobytes() for k, v in columns.items()} | {"n": len(ids), "words": int(lengths.sum())}
 
 
@@ -87,199 +112,241 @@ def index(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(docs[key].cast("long").alias("_id"), docs[text].alias("_text")).filter("_id is not null").mapInArrow(run, SCHEMA)
 
 
+def frequencies(shards: DataFrame) -> DataFrame:
+    """term (the hash as a long) and n, the number of documents that hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for terms, ends in zip(batch.column("terms"), batch.column("ends")):
+                held = np.frombuffer(terms.as_buffer(), "<i8"), np.diff(np.frombuffer(ends.as_buffer(), "<i8"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["term", "n"])
+
+    return shards.select("terms", "ends").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def asked_terms(asked: DataFrame) -> DataFrame:
-    """query_id with the distinct terms of the query's whole text."""
+    """number, query_id and term: the distinct terms of each query's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in bpe.sliced(batch, "text"):
-                owner, term, _, lengths = term_counts(texts)
-                held = np.split(term, np.searchsorted(owner, np.arange(1, len(lengths))))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in held], pa.binary())], ["query_id", "terms"])
+                owner, term, _, _ = term_counts(texts)
+                at = pa.array(owner, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("number").take(at), part.column("query_id").take(at), pa.array(term.view(np.int64))], ["number", "query_id", "term"])
+
+    return asked.select("number", "query_id", "text").mapInArrow(run, "number long, query_id long, term long")
 
-    return asked.select("query_id", "text").mapInArrow(run, "query_id long, terms binary")
+
+class Queries:
+    """A block of queries: their terms one query after the other, with the weights of the terms, and the best found."""
+
+    def __init__(self, numbers: np.ndarray, names: np.ndarray, terms: np.ndarray, weights: np.ndarray, ends: np.ndarray, floor: np.ndarray, k: int):
+        self.numbers, self.names, self.terms, self.weights, self.floor = numbers, names, terms, weights, floor
+        self.owner = np.repeat(np.arange(len(numbers)), np.diff(ends))
+        self.best = np.zeros((len(numbers), k))
+        self.found = np.full((len(numbers), k), -1, np.int64)
+
+    def least(self) -> np.ndarray:
+        """The score that a document must reach; nothing below `floor` is wanted."""
+        return np.maximum(np.maximum(self.floor, np.where(self.found[:, -1] >= 0, self.best[:, -1], 0)) - 1e-7, 1e-12)
+
+    def offer(self, who: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Puts documents that belong there into the best of the queries `who`, worst last; ties go to the smaller id."""
+        score = np.round(score, 9)
+        better = np.flatnonzero((score >= self.least()[who, None]).any(1))
+        if not len(better):
+            return
+        who, score, k = who[better], score[better], self.best.shape[1]
+        score[score <= 0] = -1
+        scores = np.concatenate([np.where(self.found[who] >= 0, self.best[who], -1), score], 1)
+        found = np.concatenate([self.found[who], np.broadcast_to(ids, score.shape)], 1)
+        kept = np.lexsort((found, -scores), axis=1)[:, :k]
+        self.best[who] = np.take_along_axis(scores, kept, 1)
+        self.found[who] = np.where(self.best[who] > 0, np.take_along_axis(found, kept, 1), -1)
 
 
 class Shard:
-    """A shard's index, opened for a block of queries: `weights` are the idf of the block's distinct `terms`."""
+    """A shard's index, opened for search. Scores are those of a term of weight one."""
 
-    def __init__(self, row: dict, terms: np.ndarray, weights: np.ndarray, mean: float):
+    def __init__(self, row: dict, mean: float):
         held = {k: np.frombuffer(row[k], t) for k, t in TYPES.items()}
-        self.ids, n = held["ids"], row["n"]
-        slot = np.searchsorted(held["terms"], terms)
-        inside = slot < len(held["terms"])
-        inside[inside] = held["terms"][slot[inside]] == terms[inside]
-        here = np.flatnonzero(inside)  # places in `terms` of those that the shard has
-        begin, end = held["ends"][slot[here]], held["ends"][slot[here] + 1]
-        count = end - begin
-        at = np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        doc, times = held["posts"][at], held["times"][at].astype(float)
-        length = K1 * (1 - B + B * held["lengths"] / mean) if mean else np.full(n, K1)
-        gain = np.repeat(weights[here], count) * times * (K1 + 1) / (times + length[doc])
-        common = count > max(BLOCK / 2, n * COMMON)
-        mark = np.repeat(common, count)
-        self.row = np.full(len(terms), -1)  # of a common term in `dense`
-        self.row[here[common]] = np.arange(common.sum())
-        row, at_doc, worth = np.repeat(np.arange(common.sum()), count[common]), doc[mark], gain[mark]
-        order = self._order(row, at_doc, worth, count[common], n)
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        self.ids, self.n, self.blocks = self.ids[order], n, -(-n // BLOCK)
-        self.dense = np.zeros((int(common.sum()), self.blocks * BLOCK))
-        self.dense[row, place[at_doc]] = worth
-        self.groups = -(-self.blocks // GROUP)
-        # the largest score of each common term in each block, and of each rare term in each group of blocks
-        self.most = self.dense.reshape(len(self.dense), self.blocks, BLOCK).max(2)
-        self.rare = np.full(len(terms), -1)
-        self.rare[here[~common]] = np.arange((~common).sum())
-        self.size = int((~common).sum())
-        spot, slot = place[doc[~mark]], np.repeat(np.arange(self.size), count[~common])
-        group = spot // (GROUP * BLOCK)
-        order = np.argsort(group.astype(np.uint16), kind="stable")  # by group, and by term within it
-        self.rare_doc, self.rare_gain = spot[order], gain[~mark][order]
-        self.rare_count = np.bincount(group * self.size + slot, minlength=self.groups * self.size)
-        self.rare_start = np.cumsum(self.rare_count) - self.rare_count
-        self.rare_most = np.zeros(self.groups * self.size)
-        some = self.rare_count > 0
-        if some.any():
-            self.rare_most[some] = np.maximum.reduceat(self.rare_gain, self.rare_start[some])
-
-    @staticmethod
-    def _order(row: np.ndarray, doc: np.ndarray, gain: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
-        """Documents by their part in the main direction of the commonest terms: those of one language come together."""
-        slot = np.full(len(count), -1)
-        lead = np.argsort(-count, kind="stable")[:LEADING]
-        slot[lead] = np.arange(len(lead))
-        mark = slot[row] >= 0
-        small = np.zeros((len(lead), n))
-        small[slot[row[mark]], doc[mark]] = gain[mark]
-        small -= small.mean(1, keepdims=True)
-        x = np.cos(np.arange(n))
-        for _ in range(4 if len(lead) else 0):
-            x = small.T @ (small @ x)
-            x /= np.linalg.norm(x) or 1
-        return np.argsort(x, kind="stable")
-
-    def search(self, queries: list[np.ndarray], best: np.ndarray, names: np.ndarray, floor: np.ndarray) -> None:
-        """Puts documents that belong there into the queries' k best: scores in `best`, worst last, ids in `names`, -1
-        where there is none. A query is its places in `terms`; a score below its `floor` is not wanted."""
-        m, k = best.shape
-        size = [len(q) for q in queries]
-        flat, owner = np.concatenate(queries), np.repeat(np.arange(m), size)
-        weight = np.zeros((m, len(self.dense)))
-        row = self.row[flat]
-        weight[owner[row >= 0], row[row >= 0]] = 1
-        held = self.rare[flat]
-        who, slot = owner[held >= 0], held[held >= 0]
-        starts = np.arange(0, self.blocks, GROUP)
-        bound = np.maximum.reduceat(weight @ self.most, starts, axis=1)  # (query, group of blocks)
-        for b in range(self.groups):
-            bound[:, b] += np.bincount(who, self.rare_most[b * self.size + slot], m)
-        leading = bound.argmax(1)  # each query's most promising group first, which raises its threshold
-        rest = np.argsort(-bound.max(0), kind="stable")
-        for b, ask in [(b, np.flatnonzero(leading == b)) for b in np.unique(leading)] + [(b, None) for b in rest]:
-            least = np.maximum(floor, np.where(names[:, -1] >= 0, best[:, -1], 0))
-            hopeful = (bound[:, b] >= least - 1e-7) & (bound[:, b] > 0)
-            ask = ask[hopeful[ask]] if ask is not None else np.flatnonzero(hopeful & (leading != b))
-            if not len(ask):
+        self.ids, self.n, self.terms, self.ends = held["ids"], row["n"], held["terms"], held["ends"]
+        self.blocks = -(-self.n // BLOCK)
+        length = K1 * (1 - B + B * held["lengths"] / mean) if mean else np.full(self.n, K1)
+        self.posts, times = held["posts"], held["times"].astype(float)
+        self.gain = times * (K1 + 1) / (times + length[self.posts])
+        count = np.diff(self.ends)
+        # the blocks of all lists, list after list, each with its largest score and its first posting
+        at = np.repeat(np.arange(len(count)), count) * self.blocks + self.posts // BLOCK
+        self.first = np.flatnonzero(np.diff(at, prepend=-1))
+        self.key = at[self.first]
+        self.most = np.maximum.reduceat(self.gain, self.first) if len(self.first) else np.zeros(0)
+        self.first = np.append(self.first, len(self.posts))
+        self.begin = np.searchsorted(self.key, np.arange(len(count) + 1) * self.blocks)
+        self.top = np.maximum.reduceat(self.most, self.begin[:-1]) if len(count) else np.zeros(0)
+        # lists that have a posting nearly everywhere keep their blocks as rows, which many queries read at once
+        common = np.flatnonzero(count > max(BLOCK / 2, self.n * COMMON))
+        self.row = np.full(len(count), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.blocks * BLOCK))
+        span = np.repeat(self.ends[common] - np.cumsum(count[common]) + count[common], count[common]) + np.arange(count[common].sum())
+        self.rows[np.repeat(np.arange(len(common)), count[common]), self.posts[span]] = self.gain[span]
+        self.read = self.all = 0  # postings of the queries' lists that were read, and all of them
+
+    def search(self, q: Queries) -> None:
+        """Finds this shard's documents that belong into the queries' best."""
+        slot = np.searchsorted(self.terms, q.terms)
+        here = np.flatnonzero(slot < len(self.terms))
+        here = here[self.terms[slot[here]] == q.terms[here]]
+        slot, owner, weight = slot[here], q.owner[here], q.weights[here]
+        if not len(slot):
+            return
+        self.all += int((self.ends[slot + 1] - self.ends[slot]).sum())
+        edge = np.searchsorted(owner, np.arange(len(q.numbers) + 1))  # where each query's cursors lie
+        cursor, last = self.begin[slot].copy(), self.begin[slot + 1]
+        top, base = weight * self.top[slot], slot * self.blocks
+        pivot = np.full(len(q.numbers), self.blocks)
+
+        def choose(who: np.ndarray, lines: np.ndarray, line_of: np.ndarray, least: np.ndarray) -> None:
+            """The pivots of queries: the first block up to which the lists that have begun could reach the threshold."""
+            open_ = cursor[lines] < last[lines]
+            lines, line_of = lines[open_], line_of[open_]
+            at = self.key[cursor[lines]] - base[lines]
+            could = np.bincount(line_of * self.blocks + at, top[lines], len(who) * self.blocks).reshape(len(who), self.blocks).cumsum(1)
+            enough = could >= least[who, None]
+            pivot[who] = np.where(enough.any(1), enough.argmax(1), self.blocks)
+
+        everyone = np.arange(len(q.numbers))
+        choose(everyone, np.arange(len(slot)), owner, q.least())
+        for b in range(self.blocks):
+            who = np.flatnonzero(pivot == b)
+            if not len(who):
                 continue
-            first, last = starts[b], min(starts[b] + GROUP, self.blocks)
-            docs = slice(first * BLOCK, min(last * BLOCK, self.n))
-            # rows of most queries are cheaper to multiply than to copy
-            score = (weight @ self.dense[:, docs])[ask] if 2 * len(ask) > m else weight[ask] @ self.dense[:, docs]
-            local = np.full(m, -1)
-            local[ask] = np.arange(len(ask))
-            place = b * self.size + slot
-            mark = np.flatnonzero((local[who] >= 0) & (self.rare_count[place] > 0))
-            place, count = place[mark], self.rare_count[place[mark]]
-            at = np.repeat(self.rare_start[place] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            width = docs.stop - docs.start
-            entry = np.repeat(local[who[mark]] * width - docs.start, count) + self.rare_doc[at]
-            score += np.bincount(entry, self.rare_gain[at], score.size).reshape(score.shape)
-            score = np.round(score, 9)
-            better = np.flatnonzero(((score > 0) & (score >= least[ask, None] - 1e-7)).any(1))
-            if not len(better):
-                continue
-            ask, score = ask[better], score[better]
-            score[score <= 0] = -1
-            scores = np.concatenate([np.where(names[ask] >= 0, best[ask], -1), score], 1)
-            found = np.concatenate([names[ask], np.broadcast_to(self.ids[docs], score.shape)], 1)
-            kept = np.lexsort((found, -scores), axis=1)[:, :k]
-            best[ask] = np.take_along_axis(scores, kept, 1)
-            names[ask] = np.where(best[ask] > 0, np.take_along_axis(found, kept, 1), -1)
-
-
-def searcher(whole, mean: float, k: int):
-    """Answers a block of queries on the shards of a task; each shard's best are the next one's thresholds."""
+            size = edge[who + 1] - edge[who]
+            line_of = np.repeat(np.arange(len(who)), size)
+            lines = np.repeat(edge[who] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            # cursors that lag behind move up to the pivot, past the blocks between
+            lag = lines[(cursor[lines] < last[lines])]
+            lag = lag[self.key[cursor[lag]] < base[lag] + b]
+            cursor[lag] = np.searchsorted(self.key, base[lag] + b)
+            at = np.flatnonzero(cursor[lines] < last[lines])
+            at = at[self.key[cursor[lines[at]]] == base[lines[at]] + b]
+            line, line_at = lines[at], line_of[at]
+            bound = np.bincount(line_at, weight[line] * self.most[cursor[line]], len(who))
+            least = q.least()
+            go = bound >= least[who]
+            if go.any():
+                self._score(q, b, who, go, line, line_at, cursor, slot, weight)
+                least = q.least()
+            cursor[line] += 1
+            choose(who, lines, line_of, least)
+
+    def _score(self, q: Queries, b: int, who: np.ndarray, go: np.ndarray, line: np.ndarray, line_at: np.ndarray, cursor: np.ndarray, slot: np.ndarray, weight: np.ndarray) -> None:
+        """Reads the postings of block `b` for those of the queries `who` that `go` there."""
+        local = np.cumsum(go) - 1
+        mine = go[line_at]
+        line, to = line[mine], local[line_at[mine]]
+        width = min(BLOCK, self.n - b * BLOCK)
+        self.read += int((self.first[cursor[line] + 1] - self.first[cursor[line]]).sum())
+        row = self.row[slot[line]]
+        dense = row >= 0
+        asks = np.zeros((int(go.sum()), len(self.rows)))
+        asks[to[dense], row[dense]] = weight[line[dense]]
+        score = asks @ self.rows[:, b * BLOCK : b * BLOCK + width]
+        line, to = line[~dense], to[~dense]
+        start, count = self.first[cursor[line]], self.first[cursor[line] + 1] - self.first[cursor[line]]
+        at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        entry = np.repeat(to * width, count) + self.posts[at] - b * BLOCK
+        score += np.bincount(entry, np.repeat(weight[line], count) * self.gain[at], score.size).reshape(score.shape)
+        q.offer(who[go], score, self.ids[b * BLOCK : b * BLOCK + width])
+
+
+def stored(folder: str) -> Iterator[pa.Table]:
+    """The files of a written table, one after the other, as any executor reads them from the shared folder."""
+    store, base = fs.FileSystem.from_uri(folder)
+    for found in sorted(store.get_file_info(fs.FileSelector(base, allow_not_found=True)), key=lambda x: x.path):
+        if found.is_file and found.path.endswith(".parquet"):
+            yield pq.read_table(found.path, filesystem=store, partitioning=None)
+
+
+def opened(folder: str, floors: str | None, k: int) -> list[Queries]:
+    """The queries of a pass in blocks of TOGETHER."""
+    least: dict[int, float] = {}
+    for part in stored(floors) if floors else ():
+        least.update(zip(part.column("number").to_pylist(), part.column("least").to_pylist()))
+    out, rows = [], []
+
+    def closed() -> Queries:
+        numbers, names, terms, weights = zip(*rows)
+        return Queries(np.array(numbers), np.array(names), np.concatenate(terms).view(np.uint64), np.concatenate(weights), np.cumsum([0, *map(len, terms)]), np.array([least.get(n, 0.0) for n in numbers]), k)
+
+    for part in stored(folder):
+        for number, name, terms, weights in zip(*(part.column(c) for c in ("number", "query_id", "terms", "weights"))):
+            rows.append((number.as_py(), name.as_py(), terms.values.to_numpy(zero_copy_only=False), weights.values.to_numpy(zero_copy_only=False)))
+            if len(rows) == TOGETHER:
+                out.append(closed())
+                rows.clear()
+    return [*out, closed()] if rows else out
+
+
+def searcher(folder: str, floors: str | None, mean: float, k: int):
+    """Answers a pass's queries on the shards of a task; each shard's best are the next one's thresholds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, weights, queries, names, floor = whole.value
-        best, found = np.zeros((len(queries), k)), np.full((len(queries), k), -1, np.int64)
+        queries = None
         for batch in batches:
             for i in range(batch.num_rows):
-                shard = Shard({c: batch.column(c)[i].as_py() for c in batch.schema.names}, terms, weights, mean)
-                for at in range(0, len(queries), TOGETHER):
-                    some = slice(at, at + TOGETHER)
-                    shard.search(queries[some], best[some], found[some], floor[some])
-        q, r = np.nonzero((found >= 0) & (best >= floor[:, None] - 1e-7))
-        yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.int64()), pa.array(found[q, r], pa.int64()), pa.array(best[q, r], pa.float64())], ["query_id", "doc_id", "score"])
+                queries = opened(folder, floors, k) if queries is None else queries
+                shard = Shard({c: batch.column(c)[i].as_py() for c in batch.schema.names}, mean)
+                for q in queries:
+                    shard.search(q)
+        for q in queries or ():
+            at, r = np.nonzero((q.found >= 0) & (q.best >= q.floor[:, None] - 1e-7))
+            columns = q.numbers[at], q.names[at], q.found[at, r], q.best[at, r]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["number", "query_id", "doc_id", "score"])
 
     return run
 
 
 def search(docs: DataFrame, every: int, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The `k` best documents for each document whose id `every` divides: query_id, rank, doc_id, score.
+    """The `k` best documents for each document whose id `every` divides: query_id, rank, doc_id, score, query_row.
 
     A query is the set of words of a whole text (lower-cased, letters and digits); all documents are searched, the
     query's own among them. Scores are BM25 with k1 1.2 and b 0.75, rounded to 9 decimals; ties go to the smaller id.
     Only documents that share a word with the query have a rank, so null and empty texts have none. Rows with a null
-    id take no part; of repeated ids every row is searched, and the first by text asks. No rows give no rows.
+    id take no part; each row of a repeated id is searched and asks, and `query_row` tells such queries apart. No rows
+    give no rows.
+
+    Nothing of the queries goes through the driver: they are written in passes of about PASS_TERMS terms, which every
+    task reads from the shared folder; a pass reads the index once.
     """
-    spark = docs.sparkSession
     shards = staged(index(docs, key, text), "shards")
-    n, words = shards.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    n, words, held = shards.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.count(F.lit(1))).first()
     mean = words / n if n else 0.0
-    first = F.pmod(F.xxhash64("ids"), F.lit(max(1, math.isqrt(shards.count())))) == 0  # about the root of their number
+    first = F.pmod(F.xxhash64("ids"), F.lit(max(1, math.isqrt(held)))) == 0  # about the root of their number
     asked = docs.select(F.col(key).cast("long").alias("query_id"), F.col(text).alias("text")).filter(F.col("query_id") % every == 0)
-    asked = staged(asked_terms(asked.groupBy("query_id").agg(F.min("text").alias("text")).filter("text is not null")), "queries", small=True)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    terms = staged(asked_terms(asked.withColumn("number", F.monotonically_increasing_id())), "terms")
+    passes = max(1, -(-terms.count() // PASS_TERMS))
+    weight = F.log1p((F.lit(float(n)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    weighed = terms.join(frequencies(shards), "term").select("number", "query_id", F.struct("term", weight.alias("weight")).alias("both"))
+    # a query's terms are no more than its text's words
+    whole = weighed.groupBy("number", "query_id").agg(F.collect_list("both").alias("both"))
+    whole = whole.select("number", "query_id", F.col("both.term").alias("terms"), F.col("both.weight").alias("weights"), F.pmod(F.xxhash64("number"), F.lit(passes)).alias("pass"))
+    folder = scratch(docs.sparkSession, "queries")
+    whole.hint("rebalance").write.partitionBy("pass").parquet(folder)
     found = None
-    for block in range(blocks):  # a block of queries is bounded, whatever their number
-        mine = asked.filter(F.pmod(F.xxhash64(F.lit(41), "query_id"), F.lit(blocks)) == block).toPandas()
-        held = [np.frombuffer(x, np.uint64) for x in mine["terms"]]
-        terms, place = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_inverse=True)
-        queries = np.split(place, np.cumsum([len(x) for x in held])[:-1]) if held else []
-        names = mine["query_id"].to_numpy(np.int64)
-        shared = spark.sparkContext.broadcast(terms)
-
-        def frequencies(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(shared.value), np.int64)
-            for batch in batches:
-                for row in batch.to_pylist():
-                    own, ends = np.frombuffer(row["terms"], "<u8"), np.frombuffer(row["ends"], "<i8")
-                    slot = np.searchsorted(shared.value, own)
-                    slot[slot == len(shared.value)] = 0
-                    same = shared.value[slot] == own if len(shared.value) else np.zeros(len(own), bool)
-                    total[slot[same]] += np.diff(ends)[same]
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["term", "n"])
-
-        counted = shards.select("terms", "ends").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-        held = np.zeros(len(terms))
-        held[counted["term"].to_numpy(np.int64)] = counted["n"]
-        weights = np.log1p((n - held + 0.5) / (held + 0.5))
-        hits = "query_id long, doc_id long, score double"
-        floor = np.zeros(len(names))
-        whole = spark.sparkContext.broadcast((terms, weights, queries, names, floor))
-        early = staged(shards.filter(first).mapInArrow(searcher(whole, mean, k), hits), "hits", small=True)
+    for i in range(passes):
+        mine = f"{folder}/pass={i}"
+        early = staged(shards.filter(first).mapInArrow(searcher(mine, None, mean, k), HITS), "hits", small=True)
         # what the first shards' k-th best scores already say, no other shard need beat again
-        reached = early.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).filter(F.size("s") >= k)
-        reached = reached.select("query_id", F.element_at("s", k).alias("least")).toPandas()  # a number per query of the block
-        order = np.argsort(names)
-        floor[order[np.searchsorted(names[order], reached["query_id"].to_numpy(np.int64))]] = reached["least"]
-        whole = spark.sparkContext.broadcast((terms, weights, queries, names, floor))
-        late = staged(shards.filter(~first).mapInArrow(searcher(whole, mean, k), hits), "hits", small=True)
+        best = Window.partitionBy("number").orderBy(F.desc("score"), "doc_id")
+        least = early.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select("number", F.col("score").alias("least"))
+        least = staged(least, "floors", small=True)
+        late = staged(shards.filter(~first).mapInArrow(searcher(mine, _paths[least], mean, k), HITS), "hits", small=True)
+        discard(least)
         part = early.unionAll(late)
         found = part if found is None else found.unionAll(part)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    discard(shards, terms)
+    best = Window.partitionBy("number").orderBy(F.desc("score"), "doc_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "doc_id", "score", F.col("number").alias("query_row"))

@@ -2,10 +2,10 @@
 
 Every shard of documents has an inverted index of its own. Its documents lie in an order in which similar ones are
 neighbours, and each term's posting list is cut into blocks of BLOCK documents, of which the index knows the largest
-score. A query has a cursor on the list of each of its terms. Its pivot is the first block up to which the cursors'
-terms could, by their lists' largest scores, reach the k-th best score found so far; all blocks before it are skipped.
-At the pivot the lagging cursors move up, and the blocks' own largest scores are added: only if these reach the
-threshold as well are the postings of the block read. Cursors move a block at a time, for many queries at once.
+score. A query moves over the blocks; its pivot is the next block up to which the lists that have a posting on the way
+could, by their whole lists' largest scores, reach the k-th best score found so far, and it skips all blocks before that.
+At the pivot the largest scores of the lists' blocks there are added: only if these reach the threshold as well are the
+postings of the block read. Many queries move together, and all their cursors on a block are taken at once.
 
 Document frequencies, the number of documents and their mean length are those of all shards, so scores of different
 shards compare, and merging the shards' best k is exact.
@@ -32,12 +32,13 @@ from .common import _paths, discard, scratch, staged
 K1, B = 1.2, 0.75
 #: Documents, and characters, in a shard at most, but for what one slice of texts holds.
 SHARD, SHARD_CHARS = 4096, 20_000_000
-BLOCK = 64
+BLOCK = 128
 #: Terms of the queries that a pass over the shards answers, about, and queries that move together.
 PASS_TERMS = 4 << 20
 TOGETHER = 512
-#: Common terms by which documents are put in order.
+#: Common terms by which documents are put in order, and into so many parts, each in the order of lengths.
 LEADING = 64
+PARTS = 16
 #: A list of more than this part of a shard's documents keeps its blocks as rows of scores.
 COMMON = 1 / 24
 
@@ -59,21 +60,24 @@ def term_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return both // len(unique), hashes[both % len(unique)], times, lengths
 
 
-def similar_order(owner: np.ndarray, term: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
-    """Documents by their part in the main direction of the commonest terms: those of one language come together."""
-    unique, place, count = np.unique(term, return_inverse=True, return_counts=True)
+def similar_order(term: np.ndarray, owner: np.ndarray, times: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Documents by their part in the main direction of the commonest terms (numbered from 0), so that those of one
+    language come together, and among these by length, so that a block's largest scores are near to all of its scores."""
+    n, count = len(lengths), np.bincount(term)
     lead = np.argsort(-count, kind="stable")[:LEADING]
-    slot = np.full(len(unique), -1)
+    slot = np.full(len(count), -1)
     slot[lead] = np.arange(len(lead))
-    mark = slot[place] >= 0
+    mark = slot[term] >= 0
     small = np.zeros((len(lead), n))
-    small[slot[place[mark]], owner[mark]] = times[mark] / (times[mark] + K1)
+    small[slot[term[mark]], owner[mark]] = times[mark] / (times[mark] + K1)
     small -= small.mean(1, keepdims=True)
     x = np.cos(np.arange(n))
     for _ in range(4 if len(lead) else 0):
         x = small.T @ (small @ x)
         x /= np.linalg.norm(x) or 1
-    return np.argsort(x, kind="stable")
+    part = np.empty(n, np.int64)
+    part[np.argsort(x, kind="stable")] = np.arange(n) * PARTS // max(n, 1)
+    return np.lexsort((lengths, part))
 
 
 def build(ids: list, parts: list[tuple]) -> dict:
@@ -81,13 +85,14 @@ def build(ids: list, parts: list[tuple]) -> dict:
     first = np.cumsum([0, *(len(p[3]) for p in parts)])
     owner = np.concatenate([p[0] + at for p, at in zip(parts, first)])
     term, times, lengths = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
-    order = similar_order(owner, term, times, len(ids))
+    number, terms = pd.factorize(term, sort=True)
+    order = similar_order(number, owner, times, lengths)
     place = np.empty(len(ids), np.int64)
     place[order] = np.arange(len(ids))
-    owner = place[owner]
-    by = np.lexsort((owner, term))  # documents in their order within a term
-    terms, starts = np.unique(term[by], return_index=True)
-    columns = {"ids": np.array(ids, "<i8")[order], "lengths": lengths[order], "terms": terms, "ends": np.append(starts, len(term)), "posts": owner[by], "times": times[by]}
+    both = number * max(len(ids), 1) + place[owner]  # documents in their order within a term
+    by = np.argsort(both)
+    ends = np.cumsum(np.append(0, np.bincount(number, minlength=len(terms))))
+    columns = {"ids": np.array(ids, "<i8")[order], "lengths": lengths[order], "terms": terms, "ends": ends, "posts": place[owner[by]], "times": times[by]}
     return {k: v.astype(TYPES[k]).tobytes() for k, v in columns.items()} | {"n": len(ids), "words": int(lengths.sum())}
 
 
@@ -191,6 +196,8 @@ class Shard:
         self.rows = np.zeros((len(common), self.blocks * BLOCK))
         span = np.repeat(self.ends[common] - np.cumsum(count[common]) + count[common], count[common]) + np.arange(count[common].sum())
         self.rows[np.repeat(np.arange(len(common)), count[common]), self.posts[span]] = self.gain[span]
+        self.row_most = self.rows.reshape(len(common), self.blocks, BLOCK).max(2)
+        self.row_count = (self.rows.reshape(len(common), self.blocks, BLOCK) > 0).sum(2)
         self.read = self.all = 0  # postings of the queries' lists that were read, and all of them
 
     def search(self, q: Queries) -> None:
@@ -202,63 +209,64 @@ class Shard:
         if not len(slot):
             return
         self.all += int((self.ends[slot + 1] - self.ends[slot]).sum())
-        edge = np.searchsorted(owner, np.arange(len(q.numbers) + 1))  # where each query's cursors lie
-        cursor, last = self.begin[slot].copy(), self.begin[slot + 1]
-        top, base = weight * self.top[slot], slot * self.blocks
-        pivot = np.full(len(q.numbers), self.blocks)
-
-        def choose(who: np.ndarray, lines: np.ndarray, line_of: np.ndarray, least: np.ndarray) -> None:
-            """The pivots of queries: the first block up to which the lists that have begun could reach the threshold."""
-            open_ = cursor[lines] < last[lines]
-            lines, line_of = lines[open_], line_of[open_]
-            at = self.key[cursor[lines]] - base[lines]
-            could = np.bincount(line_of * self.blocks + at, top[lines], len(who) * self.blocks).reshape(len(who), self.blocks).cumsum(1)
-            enough = could >= least[who, None]
-            pivot[who] = np.where(enough.any(1), enough.argmax(1), self.blocks)
-
-        everyone = np.arange(len(q.numbers))
-        choose(everyone, np.arange(len(slot)), owner, q.least())
+        m, row = len(q.numbers), self.row[slot]
+        asks = np.zeros((m, len(self.rows)))
+        asks[owner[row >= 0], row[row >= 0]] = weight[row >= 0]
+        begun = asks @ self.row_most.max(1, initial=0)  # what the lists that are nearly everywhere could add
+        at_most = asks @ self.row_most
+        slot, owner, weight = slot[row < 0], owner[row < 0], weight[row < 0]
+        # the blocks of the other lists, by their number: those of a block are met when the queries come there
+        size = self.begin[slot + 1] - self.begin[slot]
+        entry = np.repeat(self.begin[slot] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        line = np.repeat(np.arange(len(slot)), size)
+        number = self.key[entry] - slot[line] * self.blocks
+        order = np.argsort(number.astype(np.uint16), kind="stable")
+        entry, line = entry[order], line[order]
+        edge = np.searchsorted(number[order], np.arange(self.blocks + 1))
+        # what the lists with a posting in a block could add by their largest scores, summed over the blocks up to each; a
+        # list that is met in several blocks counts in each of them, which errs on the safe side
+        could = np.bincount(owner[line] * self.blocks + number[order], (weight * self.top[slot])[line], m * self.blocks).reshape(m, self.blocks).cumsum(1)
+
+        def pivots(who: np.ndarray, after: int, least: np.ndarray) -> np.ndarray:
+            """The first block after `after` up to which the queries `who` could reach their thresholds, or past the last."""
+            passed = could[who, after] if after >= 0 else np.zeros(len(who))
+            enough = begun[who, None] + could[who, after + 1 :] - passed[:, None] >= least[who, None]
+            return np.where(enough.any(1), after + 1 + enough.argmax(1), self.blocks) if enough.shape[1] else np.full(len(who), self.blocks)
+
+        pivot = pivots(np.arange(m), -1, q.least())
         for b in range(self.blocks):
-            who = np.flatnonzero(pivot == b)
-            if not len(who):
+            here = pivot == b
+            if not here.any():
                 continue
-            size = edge[who + 1] - edge[who]
-            line_of = np.repeat(np.arange(len(who)), size)
-            lines = np.repeat(edge[who] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            # cursors that lag behind move up to the pivot, past the blocks between
-            lag = lines[(cursor[lines] < last[lines])]
-            lag = lag[self.key[cursor[lag]] < base[lag] + b]
-            cursor[lag] = np.searchsorted(self.key, base[lag] + b)
-            at = np.flatnonzero(cursor[lines] < last[lines])
-            at = at[self.key[cursor[lines[at]]] == base[lines[at]] + b]
-            line, line_at = lines[at], line_of[at]
-            bound = np.bincount(line_at, weight[line] * self.most[cursor[line]], len(who))
+            some = slice(edge[b], edge[b + 1])
+            mine = here[owner[line[some]]]
+            e, of = entry[some][mine], line[some][mine]
+            bound = at_most[:, b] + np.bincount(owner[of], weight[of] * self.most[e], m)
             least = q.least()
-            go = bound >= least[who]
+            go = here & (bound >= least)
             if go.any():
-                self._score(q, b, who, go, line, line_at, cursor, slot, weight)
+                mine = go[owner[of]]
+                self._score(q, b, go, asks, e[mine], owner[of[mine]], weight[of[mine]])
                 least = q.least()
-            cursor[line] += 1
-            choose(who, lines, line_of, least)
-
-    def _score(self, q: Queries, b: int, who: np.ndarray, go: np.ndarray, line: np.ndarray, line_at: np.ndarray, cursor: np.ndarray, slot: np.ndarray, weight: np.ndarray) -> None:
-        """Reads the postings of block `b` for those of the queries `who` that `go` there."""
-        local = np.cumsum(go) - 1
-        mine = go[line_at]
-        line, to = line[mine], local[line_at[mine]]
-        width = min(BLOCK, self.n - b * BLOCK)
-        self.read += int((self.first[cursor[line] + 1] - self.first[cursor[line]]).sum())
-        row = self.row[slot[line]]
-        dense = row >= 0
-        asks = np.zeros((int(go.sum()), len(self.rows)))
-        asks[to[dense], row[dense]] = weight[line[dense]]
-        score = asks @ self.rows[:, b * BLOCK : b * BLOCK + width]
-        line, to = line[~dense], to[~dense]
-        start, count = self.first[cursor[line]], self.first[cursor[line] + 1] - self.first[cursor[line]]
+            who = np.flatnonzero(here)
+            pivot[who] = b + 1
+            low = who[begun[who] < least[who]]
+            pivot[low] = pivots(low, b, least)
+
+    def _score(self, q: Queries, b: int, go: np.ndarray, asks: np.ndarray, entry: np.ndarray, owner: np.ndarray, weight: np.ndarray) -> None:
+        """Reads the postings of block `b` for the queries that `go` there."""
+        who = np.flatnonzero(go)
+        first, width = b * BLOCK, min(BLOCK, self.n - b * BLOCK)
+        rows = self.rows[:, first : first + width]
+        # rows of most queries are cheaper to multiply than to copy
+        score = (asks @ rows)[who] if 2 * len(who) > len(go) else asks[who] @ rows
+        start, count = self.first[entry], self.first[entry + 1] - self.first[entry]
         at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        entry = np.repeat(to * width, count) + self.posts[at] - b * BLOCK
-        score += np.bincount(entry, np.repeat(weight[line], count) * self.gain[at], score.size).reshape(score.shape)
-        q.offer(who[go], score, self.ids[b * BLOCK : b * BLOCK + width])
+        local = np.cumsum(go) - 1
+        place = np.repeat(local[owner] * width - first, count) + self.posts[at]
+        score += np.bincount(place, np.repeat(weight, count) * self.gain[at], score.size).reshape(score.shape)
+        self.read += int(count.sum()) + int(((asks[who] > 0) @ self.row_count[:, b]).sum())
+        q.offer(who, score, self.ids[first : first + width])
 
 
 def stored(folder: str) -> Iterator[pa.Table]:

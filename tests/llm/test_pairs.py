@@ -204,7 +204,8 @@ def test_topk_ties_and_very_long_texts(spark):
     assert got == {200: list(range(101, 111)), 300: list(range(101, 111)), 400: [400, 401]}
 
 
-def test_wand_skips_what_can_not_count():
+def test_wand_skips_what_can_not_count(monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 32)
     rng = random.Random(5)
     texts = [" ".join([*(f"t{n}w{rng.randrange(60)}" for _ in range(30)), *(rng.choice(["the", "and"]) for _ in range(8))]) for n in range(20) for _ in range(100)]
     order = rng.sample(range(len(texts)), len(texts))

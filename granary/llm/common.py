@@ -66,14 +66,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+def staged(df: DataFrame, name: str, small: bool = False, **options: str) -> DataFrame:
     """`df` as a written table in the shared folder: computed once, and still there when executors are lost.
 
-    `small`: the rows are little beside what they were made of; they are dealt anew, so that many tasks leave few files.
+    `options` are those of the writer. `small`: the rows are little beside what they were made of; they are dealt anew, so that many tasks leave few files.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    (df.hint("rebalance") if small else df).write.parquet(path)
+    (df.hint("rebalance") if small else df).write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out

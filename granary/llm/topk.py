@@ -328,7 +328,8 @@ def search(docs: DataFrame, every: int, k: int = 10, key: str = "doc_id", text:
     Nothing of the queries goes through the driver: they are written in passes of about PASS_TERMS terms, which every
     task reads from the shared folder; a pass reads the index once.
     """
-    shards = staged(index(docs, key, text), "shards")
+    # a row has megabytes: small row groups keep the writer's and the readers' buffers small
+    shards = staged(index(docs, key, text), "shards", **{"parquet.block.size": "8388608", "parquet.enable.dictionary": "false"})
     n, words, held = shards.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.count(F.lit(1))).first()
     mean = words / n if n else 0.0
     first = F.pmod(F.xxhash64("ids"), F.lit(max(1, math.isqrt(held)))) == 0  # about the root of their number

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,3 +58,13 @@ def truncated_ge(column: Column, literal: float) -> Column:
 def exact_sum(column: Column, digits: int = 4) -> Column:
     """A sum of doubles that does not depend on the order of rows: over decimals."""
     return F.sum(column.cast(f"decimal(24,{digits})")).cast("double")
+
+
+def json_contains(text: Column, wanted: dict[str, object]) -> Column:
+    """Whether a JSON object has these top-level members; a null or something else has none."""
+    out = F.lit(True)
+    for name, value in wanted.items():
+        quoted = isinstance(value, str)
+        found = F.get_json_object(F.concat(F.lit("["), text, F.lit("]")), f"$[0].{name}")
+        out = out & (found == (value if quoted else json.dumps(value)))
+    return F.coalesce(out, F.lit(False))

@@ -16,9 +16,36 @@ def plan_text(df: DataFrame, mode: str = "formatted") -> str:
     return df._jdf.queryExecution().explainString(modes.fromString(mode))
 
 
+def nodes(plan) -> list[tuple[int, str]]:
+    """Depth and name of a plan's nodes, from the root on."""
+    out, open_ = [], [(0, plan)]
+    while open_:
+        depth, node = open_.pop()
+        out.append((depth, node.nodeName().split(" ")[0]))
+        below = node.children()
+        open_ += [(depth + 1, below.apply(i)) for i in reversed(range(below.size()))]
+    return out
+
+
+def tree(df: DataFrame, which: str = "optimized") -> list[tuple[int, str]]:
+    """Depth and name of the nodes of a query's plan: logical, analyzed, optimized or executed."""
+    plan = df._jdf.queryExecution()
+    return nodes({"logical": plan.logical, "analyzed": plan.analyzed, "optimized": plan.optimizedPlan, "executed": plan.executedPlan}[which]())
+
+
+def parsed(spark: SparkSession, statement: str) -> list[tuple[int, str]]:
+    """Depth and name of the nodes of a statement's syntax tree; no table need exist."""
+    return nodes(spark._jsparkSession.sessionState().sqlParser().parsePlan(statement))
+
+
 def analyze(spark: SparkSession, table: str) -> DataFrame:
     """Gathers statistics of a catalog table and its columns; returns the columns' as name and value."""
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
+    return statistics(spark, table)
+
+
+def statistics(spark: SparkSession, table: str) -> DataFrame:
+    """What the catalog knows of a table's columns, as column, name and value; the text NULL where it knows nothing."""
     parts = [spark.sql(f"DESCRIBE EXTENDED {table} {c}").selectExpr(f"'{c}' AS column", "info_name AS name", "info_value AS value") for c in spark.table(table).columns]
     out = parts[0]
     for part in parts[1:]:

@@ -8,9 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def count_children(parents: DataFrame, children: DataFrame, on: Column, keys: list[str], child: str, name: str) -> DataFrame:
-    """Each parent with its number of children; 0 without any."""
-    return parents.join(children, on, "left").groupBy(*keys).agg(F.count(child).alias(name))
+def count_children(parents: DataFrame, children: DataFrame, key: str, foreign: str, name: str) -> DataFrame:
+    """Each parent with its number of children; 0 without any. Children are counted by key before they meet the parents."""
+    counted = children.groupBy(F.col(foreign).alias(key)).agg(F.count(F.lit(1)).alias(name))
+    return parents.join(counted, key, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+
+
+def within_an_hour(early: DataFrame, late: DataFrame, key: str, at: str) -> DataFrame:
+    """Pairs (aliases `early` and `late`) of rows with the same key of which the late one is at most an hour younger.
+
+    Both meet by key and hour: an early row stands in its own hour and in the next, so no key gathers all of its rows.
+    """
+    hours = F.explode(F.array(F.date_trunc("hour", at), F.date_trunc("hour", F.expr(f"{at} + INTERVAL 1 HOUR"))))
+    a, b = early.withColumn("_hour", hours).alias("early"), late.withColumn("_hour", F.date_trunc("hour", at)).alias("late")
+    on = F.expr(f"early.{key} = late.{key} AND early._hour = late._hour AND early.{at} <= late.{at} AND late.{at} - early.{at} <= INTERVAL 1 HOUR")
+    return a.join(b, on)
 
 
 def nested(parents: DataFrame, children: DataFrame, key: str, foreign: str, child: str, name: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Row versions, row changes, redo."""
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import versions
+from ..operators import inspect, relational, versions
 from ..sources import tables
 from .registry import Tables, query
 
@@ -98,11 +98,12 @@ def heap_scan(t: Tables):
     return _versions(t).filter("xmax = 0").select("o_orderkey")
 
 
-@query("SELECT r_name FROM region WHERE r_regionkey = 3")
+@query("SELECT r_regionkey AS row_id, CASE WHEN r_regionkey <> 1 THEN r_name END AS r_name FROM region WHERE r_regionkey IN (1, 3)")
 def fetch_by_row_id(t: Tables):
-    # a surrogate by the order of the key stands for a physical address; the relation has five rows
-    numbered = t.region.withColumn("row_id", F.row_number().over(Window.orderBy("r_regionkey")) - 1)
-    return numbered.filter("row_id = 3").select("r_name")
+    # the key stands for a physical address; the row at 1 is deleted, and its fetch gives null
+    wanted = t.spark.createDataFrame([(1,), (3,)], "row_id int")
+    live = versions.delete(t.region, F.col("r_regionkey") == 1).select(F.col("r_regionkey").cast("int").alias("row_id"), "r_name")
+    return wanted.join(live, "row_id", "left").select("row_id", "r_name")
 
 
 @query("SELECT event_id AS lsn, event_type FROM events WHERE event_type <> 'view' UNION ALL SELECT event_id + 1000000, event_type FROM events WHERE event_type = 'view'")
@@ -113,14 +114,14 @@ def log_append(t: Tables):
     return t.spark.read.schema("lsn bigint, event_type string").parquet(path).orderBy("lsn")
 
 
-@query("""WITH l AS (SELECT user_id % 200 AS resource, event_id AS owner, CASE WHEN event_type = 'purchase' THEN 'X' ELSE 'S' END AS mode FROM events WHERE value > 80)
-SELECT a.owner AS holder, b.owner AS waiter, a.mode AS held, b.mode AS wanted FROM l a JOIN l b ON a.resource = b.resource AND a.owner < b.owner AND (a.mode = 'X' OR b.mode = 'X')""")
+@query("""WITH l AS (SELECT user_id AS resource, event_id AS owner, ts, CASE WHEN event_type = 'purchase' THEN 'X' ELSE 'S' END AS mode FROM events)
+SELECT a.owner AS holder, b.owner AS waiter, a.mode AS held, b.mode AS wanted FROM l a JOIN l b ON a.resource = b.resource AND a.ts <= b.ts AND b.ts - a.ts <= INTERVAL 1 HOUR AND a.owner < b.owner AND (a.mode = 'X' OR b.mode = 'X')""")
 def lock_conflicts(t: Tables):
     mode = F.when(F.col("event_type") == "purchase", "X").otherwise("S")
-    locks = t.events.filter("value > 80").select((F.col("user_id") % 200).alias("resource"), F.col("event_id").alias("owner"), mode.alias("mode"))
-    on = F.expr("a.resource = b.resource AND a.owner < b.owner AND (a.mode = 'X' OR b.mode = 'X')")
-    held = locks.alias("a").join(locks.alias("b"), on)
-    return held.select(F.col("a.owner").alias("holder"), F.col("b.owner").alias("waiter"), F.col("a.mode").alias("held"), F.col("b.mode").alias("wanted"))
+    # an event locks its user for an hour; two locks conflict unless both are shared
+    locks = t.events.select(F.col("user_id").alias("resource"), F.col("event_id").alias("owner"), "ts", mode.alias("mode"))
+    held = relational.within_an_hour(locks, locks, "resource", "ts").filter("early.owner < late.owner AND (early.mode = 'X' OR late.mode = 'X')")
+    return held.select(F.col("early.owner").alias("holder"), F.col("late.owner").alias("waiter"), F.col("early.mode").alias("held"), F.col("late.mode").alias("wanted"))
 
 
 @query(f"""WITH {VERSIONS}, {COMMITTED} SELECT xmin % 5 AS part, count(*) FILTER (WHERE xmax IN (SELECT txn FROM s)) AS dead, count(*) AS n,
@@ -151,13 +152,116 @@ def replica_refresh(t: Tables):
 
 @query("SELECT count(*) AS n, count(DISTINCT c_mktsegment) AS segments FROM customer")
 def cached_scan(t: Tables):
+    # the cache is filled by the first query that runs and serves all later ones; Spark evicts and spills it by itself
     held = t.customer.select("c_custkey", "c_mktsegment").persist(StorageLevel.MEMORY_AND_DISK)
-    out = [(held.count(), held.select("c_mktsegment").distinct().count())]
-    held.unpersist()
-    return t.spark.createDataFrame(out, "n long, segments long")
+    return held.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c_mktsegment").alias("segments"))
 
 
 @query("SELECT column_name AS column, lower(data_type) AS kind FROM information_schema.columns WHERE table_name = 'region'")
 def schema_dump(t: Tables):
     names = {"int": "integer", "string": "varchar"}
     return t.spark.createDataFrame([(c, names.get(k, k)) for c, k in t.region.dtypes], "column string, kind string")
+
+
+@query("SELECT 'r_regionkey | r_name' AS line UNION ALL SELECT r_regionkey || ' | ' || r_name FROM region UNION ALL SELECT '(' || count(*) || ' rows)' FROM region")
+def text_table(t: Tables):
+    return tables.as_lines(t.region)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def jdbc_bulk_load(t: Tables):
+    # the database that comes with Spark, in the driver's memory; a server's address would stand in its place
+    url = tables.embedded_database(t.spark)
+    rows = t.nation.select("n_nationkey", "n_name", "n_regionkey")
+    tables.bulk_load(rows, url, "nation")
+    return tables.jdbc(t.spark, url, "SELECT * FROM nation", "n_nationkey", 0, 25, 4).select(*rows.columns)
+
+
+@query("SELECT 1 AS id, 'one' AS name UNION ALL SELECT 2, 'two'")
+def create_table(t: Tables):
+    name = tables.create(t.spark, tables.schema({"id": "int", "name": "text"}, primary_key="id"))
+    t.spark.sql(f"INSERT INTO {name} VALUES (1, 'one'), (2, 'two')")
+    return t.spark.table(name)
+
+
+@query("SELECT n * 2 AS dirty, n AS committed FROM (SELECT count(*) AS n FROM region)")
+def dirty_read(t: Tables):
+    # a second version of every row is written and not committed: who reads it counts each row twice
+    held = t.region.select(F.lit(1).alias("xmin"), F.lit(0).alias("xmax")).unionAll(t.region.select(F.lit(2).alias("xmin"), F.lit(0).alias("xmax")))
+    snapshot = versions.committed(t.spark.createDataFrame([(1, "C"), (2, "A")], "txn int, status string"))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return count(held, "dirty").crossJoin(count(versions.visible(held, snapshot, 9), "committed"))
+
+
+@query(f"""WITH v AS (SELECT o_orderkey % 50 + 1 AS xmin, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 43 + 1 ELSE 0 END AS xmax FROM orders WHERE o_totalprice > 100000), {COMMITTED}, n AS (SELECT txn FROM s WHERE txn <= 20)
+SELECT early AS first_read, late AS read_committed_again, early AS snapshot_again FROM (SELECT count(*) AS early FROM v WHERE xmin IN (SELECT txn FROM n) AND xmax NOT IN (SELECT txn FROM n)), (SELECT count(*) AS late FROM v WHERE xmin IN (SELECT txn FROM s) AND xmax NOT IN (SELECT txn FROM s))""")
+def phantom_read(t: Tables):
+    # rows that match the predicate are committed between two reads; a snapshot that is kept does not see them
+    dear = t.orders.filter("o_totalprice > 100000").select("o_orderkey")
+    held, snapshot = _versions(t).join(dear, "o_orderkey", "left_semi"), _snapshot(t)
+    count = lambda s, name: versions.visible(held, s, 999).agg(F.count(F.lit(1)).alias(name))
+    kept = snapshot.filter("txn <= 20")
+    return count(kept, "first_read").crossJoin(count(snapshot, "read_committed_again")).crossJoin(count(kept, "snapshot_again"))
+
+
+@query("SELECT c_custkey, c_acctbal + 50.0 AS lost, c_acctbal + 100.0 AS serial FROM customer WHERE c_custkey = 7")
+def lost_update(t: Tables):
+    # two transactions add 50 each: from the same snapshot the later write replaces the earlier, one after the other both count
+    account = t.customer.filter("c_custkey = 7").select("c_custkey", "c_acctbal")
+    add = lambda df: versions.update(df, F.lit(True), {"c_acctbal": F.col("c_acctbal") + 50.0})
+    snapshot_write = versions.upsert(add(account), add(account), "c_custkey")
+    return snapshot_write.withColumnRenamed("c_acctbal", "lost").join(add(add(account)).withColumnRenamed("c_acctbal", "serial"), "c_custkey")
+
+
+@query("SELECT count(*) - 2 AS by_snapshot, count(*) - 1 AS serial FROM supplier WHERE s_suppkey IN (1, 2)")
+def write_skew(t: Tables):
+    # two are on call, and each may leave as long as another one stays
+    on_call = t.supplier.filter("s_suppkey IN (1, 2)").select(F.col("s_suppkey").alias("who"))
+
+    def leaves(state: DataFrame, seen: DataFrame, who: int) -> DataFrame:
+        others = seen.filter(F.col("who") != who).agg(F.count(F.lit(1)).alias("others"))
+        return state.crossJoin(F.broadcast(others)).filter(~((F.col("who") == who) & (F.col("others") > 0))).select("who")
+
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    both_saw_two = leaves(leaves(on_call, on_call, 1), on_call, 2)
+    first = leaves(on_call, on_call, 1)
+    return count(both_saw_two, "by_snapshot").crossJoin(count(leaves(first, first, 2), "serial"))
+
+
+def _few(t: Tables) -> DataFrame:
+    return t.orders.filter("o_orderstatus = 'F'").select("o_custkey").distinct()
+
+
+def _shown(t: Tables, found: list[tuple[int, str]]) -> DataFrame:
+    return t.spark.createDataFrame([(i, depth, node) for i, (depth, node) in enumerate(found)], "line int, depth int, node string")
+
+
+def _tree(*nodes: str) -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS line, {len(n) - len(n.lstrip())} AS depth, '{n.strip()}' AS node" for i, n in enumerate(nodes))
+
+
+@query(_tree("Aggregate", " Project", "  Filter", "   LogicalRelation"))
+def logical_plan(t: Tables):
+    return _shown(t, inspect.tree(_few(t), "optimized"))
+
+
+@query(_tree("Project", " Filter", "  UnresolvedRelation"))
+def syntax_tree(t: Tables):
+    return _shown(t, inspect.parsed(t.spark, "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'"))
+
+
+@query("SELECT true AS compiled, true AS scan_filters, true AS costs")
+def explain_plan(t: Tables):
+    # whether stages are compiled to code, the filter reaches the scan, and sizes are estimated
+    found = "GeneratedIteratorForCodegenStage" in inspect.plan_text(t.orders.filter("o_orderstatus = 'F'"), "codegen"), "EqualTo(o_orderstatus,F)" in inspect.plan_text(_few(t)), "sizeInBytes" in inspect.plan_text(_few(t), "cost")
+    return t.spark.createDataFrame([found], "compiled boolean, scan_filters boolean, costs boolean")
+
+
+@query("SELECT 'r_name' AS column, CAST(NULL AS BIGINT) AS distinct_before, count(DISTINCT r_name) AS distinct_after FROM region UNION ALL SELECT 'r_regionkey', NULL, count(DISTINCT r_regionkey) FROM region")
+def analyze_table(t: Tables):
+    name = tables.create(t.spark, t.region.schema)
+    t.region.write.insertInto(name)
+    before = inspect.statistics(t.spark, name)
+    after = inspect.analyze(t.spark, name)
+    number = lambda df, to: df.filter("name = 'distinct_count'").select("column", F.expr("try_cast(value AS BIGINT)").alias(to))
+    return number(before, "distinct_before").join(number(after, "distinct_after"), "column")

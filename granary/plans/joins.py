@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import exact_sum
 from ..operators import relational
+from ..sources import tables
 from .registry import Tables, query
 
 
@@ -13,13 +14,13 @@ def tpch_q2(t: Tables):
     return held.orderBy(F.desc("o_orderdate"), "o_orderkey").select("c_custkey", "c_name", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_totalprice", "o_orderstatus")
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND o_orderdate < DATE '1996-03-15' ORDER BY o_orderdate, o_orderkey")
+@query("SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_totalprice, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND o_orderdate < DATE '1996-03-15' ORDER BY o_orderdate, o_orderkey")
 def tpch_q3(t: Tables):
     old = t.orders.filter((F.col("o_orderstatus") == "F") & (F.col("o_orderdate") < F.expr("DATE '1996-03-15'")))
-    return old.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).orderBy("o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey", "o_totalprice", "c_name")
+    return old.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).orderBy("o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_totalprice", "c_name")
 
 
-@query("""SELECT o_orderkey, c_name, r_name, (SELECT count(*) FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) AS item_count
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, c_name, r_name, (SELECT count(*) FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) AS item_count
 FROM orders o JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 WHERE o_orderdate BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND r_name = 'ASIA' ORDER BY o_orderdate, o_orderkey LIMIT 100""")
 def tpch_q4(t: Tables):
@@ -27,19 +28,22 @@ def tpch_q4(t: Tables):
     year = t.orders.filter(F.col("o_orderdate").between(F.expr("DATE '1996-01-01'"), F.expr("DATE '1996-12-31'")))
     held = year.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     first = relational.top(held.select("o_orderkey", "o_orderdate", "c_name", "r_name"), [F.asc("o_orderdate"), F.asc("o_orderkey")], 100)
-    return relational.count_children(first, t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"), ["o_orderkey", "c_name", "r_name"], "l_orderkey", "item_count")
+    # a hundred orders: their items alone are counted
+    items = t.lineitem.join(F.broadcast(first.select(F.col("o_orderkey").alias("l_orderkey"))), "l_orderkey", "left_semi")
+    held = relational.count_children(first, items, "o_orderkey", "l_orderkey", "item_count").orderBy("o_orderdate", "o_orderkey")
+    return held.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "c_name", "r_name", "item_count")
 
 
-@query("SELECT c_custkey, c_name, count(o_orderkey) AS order_count, CAST(sum(CAST(o_totalprice AS DECIMAL(24,4))) AS DOUBLE) AS total_amount FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_name LIKE 'Customer#00000001%' GROUP BY ALL")
+@query("SELECT c_custkey, c_name, count(o_orderkey) AS order_count, CAST(sum(CAST(o_totalprice AS DECIMAL(24,4))) AS DOUBLE) AS total_amount FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_name LIKE 'Customer#00000001%' GROUP BY ALL ORDER BY total_amount DESC, c_custkey")
 def tpch_q5(t: Tables):
     held = t.customer.filter(F.col("c_name").like("Customer#00000001%")).join(t.orders, F.col("c_custkey") == F.col("o_custkey"))
-    return held.groupBy("c_custkey", "c_name").agg(F.count("o_orderkey").alias("order_count"), exact_sum(F.col("o_totalprice")).alias("total_amount"))
+    return held.groupBy("c_custkey", "c_name").agg(F.count("o_orderkey").alias("order_count"), exact_sum(F.col("o_totalprice")).alias("total_amount")).orderBy(F.desc("total_amount"), "c_custkey")
 
 
 @query("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' GROUP BY c_custkey")
 def left_join_count(t: Tables):
     done = t.orders.filter("o_orderstatus = 'F'")
-    return relational.count_children(t.customer, done, F.col("c_custkey") == F.col("o_custkey"), ["c_custkey"], "o_orderkey", "n")
+    return relational.count_children(t.customer.select("c_custkey"), done, "c_custkey", "o_custkey", "n")
 
 
 @query("SELECT c_custkey, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY o_custkey) ON c_custkey = o_custkey")
@@ -147,16 +151,16 @@ def not_exists_nulls(t: Tables):
 @query("""SELECT a.event_id AS waiting, b.event_id AS holding, a.user_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND a.event_type <> b.event_type
 AND b.ts <= a.ts AND a.ts - b.ts <= INTERVAL 1 HOUR AND b.value > 50""")
 def self_join_conflict(t: Tables):
-    a, b = t.events.alias("a"), t.events.filter("value > 50").alias("b")
-    on = F.expr("a.user_id = b.user_id AND a.event_id <> b.event_id AND a.event_type <> b.event_type AND b.ts <= a.ts AND a.ts - b.ts <= INTERVAL 1 HOUR")
-    return a.join(b, on).select(F.col("a.event_id").alias("waiting"), F.col("b.event_id").alias("holding"), F.col("a.user_id"))
+    held = relational.within_an_hour(t.events.filter("value > 50"), t.events, "user_id", "ts").filter("early.event_id <> late.event_id AND early.event_type <> late.event_type")
+    return held.select(F.col("late.event_id").alias("waiting"), F.col("early.event_id").alias("holding"), F.col("late.user_id"))
 
 
-@query("SELECT a.p_partkey AS first, b.p_partkey AS second FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
+@query("SELECT min(a.p_partkey) AS first, b.p_partkey AS second FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey GROUP BY b.p_partkey")
 def self_join_duplicates(t: Tables):
-    a, b = t.part.alias("a"), t.part.alias("b")
-    on = F.expr("a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
-    return a.join(b, on).select(F.col("a.p_partkey").alias("first"), F.col("b.p_partkey").alias("second"))
+    # each duplicate with the first of its group; all pairs would be the square of the group
+    alike = ["p_brand", "p_type", "p_size"]
+    first = t.part.groupBy(*alike).agg(F.min("p_partkey").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return t.part.select(*alike, "p_partkey").join(first, alike).filter("first < p_partkey").select("first", F.col("p_partkey").alias("second"))
 
 
 @query("SELECT s_name, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'AFRICA' AND s_acctbal > 0")
@@ -175,7 +179,7 @@ def key_list_lookup(t: Tables):
 def reference_table_join(t: Tables):
     recent = t.events.filter(F.expr("TIMESTAMP_NTZ '2024-03-01' - ts < INTERVAL 60 DAYS"))
     held = recent.join(t.customer, F.col("user_id") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    return held.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "n")
+    return held.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "n")
 
 
 @query("SELECT o_orderkey, n FROM (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus = 'F' WHERE n >= 3")
@@ -201,7 +205,7 @@ def scalar_in_where(t: Tables):
 @query("SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS returned FROM orders")
 def correlated_count(t: Tables):
     back = t.lineitem.filter("l_returnflag = 'R'")
-    return relational.count_children(t.orders, back, F.col("o_orderkey") == F.col("l_orderkey"), ["o_orderkey"], "l_orderkey", "returned")
+    return relational.count_children(t.orders.select("o_orderkey"), back, "o_orderkey", "l_orderkey", "returned")
 
 
 @query("WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12) SELECT c_name, n FROM big JOIN customer ON o_custkey = c_custkey")
@@ -223,3 +227,21 @@ def any_of_array(t: Tables):
 def full_join(t: Tables):
     a, b = t.customer.filter("c_acctbal > 0"), t.supplier.filter("s_acctbal < 5000")
     return a.join(b, F.col("c_custkey") == F.col("s_suppkey"), "full").select(F.coalesce("c_custkey", F.lit(-1)).alias("customer"), F.coalesce("s_suppkey", F.lit(-1)).alias("supplier"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_orderstatus")
+def bucketed_merge_join(t: Tables):
+    # both sides are stored by hash of the key and sorted by it, so the join neither shuffles nor sorts
+    orders = tables.bucketed(t.orders.select("o_custkey", "o_orderstatus"), "o_custkey", 8)
+    held = orders.join(tables.bucketed(t.customer.select("c_custkey"), "c_custkey", 8).hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
+    return held.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+SIZES = (10, 100, 1000, 5000)
+
+
+@query(" UNION ALL ".join(f"SELECT {n} AS size, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey AND p_partkey <= {n}" for n in SIZES))
+def small_side_sweep(t: Tables):
+    # the same join with an ever larger side; Spark broadcasts it as long as its size allows
+    each = [t.lineitem.select("l_partkey").join(t.part.select("p_partkey").filter(F.col("p_partkey") <= n), F.col("l_partkey") == F.col("p_partkey")).agg(F.lit(n).alias("size"), F.count(F.lit(1)).alias("n")) for n in SIZES]
+    return relational.unite(each)

@@ -45,6 +45,11 @@ def json_extract(t: Tables):
     return t.events.filter(k == "42").select("event_id", k.cast("long").alias("k"))
 
 
+@query("""SELECT event_id FROM events WHERE json_contains(CAST(props AS JSON), '{"k": 42}')""")
+def json_containment(t: Tables):
+    return t.events.filter(scalar.json_contains(F.col("props"), {"k": 42})).select("event_id")
+
+
 @query("SELECT doc_id FROM documents WHERE list_has_all(string_split(lower(text), ' '), ['the', 'and'])")
 def array_contains_all(t: Tables):
     return t.documents.filter(scalar.contains_all(F.split(F.lower("text"), " "), F.array(F.lit("the"), F.lit("and")))).select("doc_id")
@@ -60,10 +65,13 @@ def digests(t: Tables):
     return t.customer.select("c_custkey", F.sha2("c_name", 256).alias("digest"), F.md5("c_name").alias("short"))
 
 
-@query("SELECT c_custkey, c_name AS back FROM customer")
+@query("SELECT c_custkey, c_name AS back, true AS hidden, 28 + length(c_name) AS bytes FROM customer")
 def encrypt_decrypt(t: Tables):
-    key = F.lit("0123456789abcdef")
-    return t.customer.select("c_custkey", F.aes_decrypt(F.aes_encrypt("c_name", key, F.lit("GCM")), key, F.lit("GCM")).cast("string").alias("back"))
+    # a nonce of 12 bytes goes before the text and a tag of 16 after it
+    key, mode = F.lit("0123456789abcdef"), F.lit("GCM")
+    held = t.customer.select("c_custkey", "c_name", F.aes_encrypt("c_name", key, mode).alias("cipher"))
+    hidden = F.instr(F.hex("cipher"), F.hex("c_name")) == 0
+    return held.select("c_custkey", F.aes_decrypt("cipher", key, mode).cast("string").alias("back"), hidden.alias("hidden"), F.octet_length("cipher").cast("long").alias("bytes"))
 
 
 @query("""SELECT c_custkey, lower(lpad(printf('%x', list_reduce(list_prepend(CAST(5381 AS BIGINT), [CAST(ascii(x) AS BIGINT) FOR x IN string_split(c_name, '')]), lambda a, b: (a * 33 + b) % 4294967296)), 8, '0')) AS h FROM customer""")
@@ -96,9 +104,9 @@ def word_count(t: Tables):
     return t.documents.select("doc_id", scalar.word_count(F.col("text")).cast("long").alias("words"))
 
 
-@query("SELECT p_partkey, p_retailprice >= 3 AS cut FROM part")
+@query("SELECT p_partkey, p_retailprice >= 950 AS cut FROM part")
 def truncated_literal(t: Tables):
-    return t.part.select("p_partkey", scalar.truncated_ge(F.col("p_retailprice"), 3.14).alias("cut"))
+    return t.part.select("p_partkey", scalar.truncated_ge(F.col("p_retailprice"), 950.7).alias("cut"))
 
 
 @query(None)

@@ -58,3 +58,61 @@ def test_analyze(spark, small):
     got = {(r.column, r.name): r.value for r in inspect.analyze(spark, "stats_region").collect()}
     assert got["r_regionkey", "distinct_count"] == "5" and got["r_regionkey", "max"] == "4"
     spark.sql("DROP TABLE stats_region")
+
+
+def count(spark, small, name):
+    df = plans.QUERIES[name](spark, small)
+    return plan(df)
+
+
+def test_shards_are_routed(spark, small):
+    routed, all_ = count(spark, small, "routed_lookup"), count(spark, small, "fan_out")
+    assert "PartitionFilters: [isnotnull(shard" in routed and "Exchange" not in routed
+    assert "PartitionFilters: []" in all_ and "Exchange" not in all_
+
+
+def test_stored_buckets_need_no_shuffle_to_join(spark, small):
+    text = count(spark, small, "bucketed_merge_join")
+    final = text.split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in final and final.count("Exchange hashpartitioning") == 1  # that of the count
+
+
+@pytest.mark.parametrize("name, node", [("sort_aggregate", "SortAggregate"), ("object_aggregate", "ObjectHashAggregate"), ("group_one_key", "HashAggregate"), ("cached_scan", "InMemoryTableScan")])
+def test_kinds_of_aggregates(spark, small, name, node):
+    assert node in count(spark, small, name)
+
+
+@pytest.mark.parametrize("name", ["lock_conflicts", "self_join_conflict"])
+def test_self_joins_meet_by_key_and_hour(spark, small, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "_hour" in count(spark, small, name).split("SortMergeJoin")[1].split("\n")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_row_groups_are_skipped(spark, small, tmp_path):
+    orders = tables.read(spark, small, "lineitem").select("l_orderkey", "l_comment" if "l_comment" in tables.read(spark, small, "lineitem").columns else "l_quantity").orderBy("l_orderkey").coalesce(1)
+    orders.write.option("parquet.block.size", 4096).option("parquet.page.size", 1024).option("parquet.page.row.count.limit", 100).parquet(f"file://{tmp_path}/o")
+    found = spark.read.parquet(f"file://{tmp_path}/o").filter("l_orderkey < 50")
+    wanted = len(found.collect())
+    leaf = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert wanted <= leaf.metrics().apply("numOutputRows").value() < orders.count() / 2
+
+
+def test_shared_folder_is_asked_for(spark, monkeypatch):
+    held = spark.conf.get("spark.checkpoint.dir")
+    assert tables.scratch(spark, "x").startswith(held)
+
+
+def test_embedded_database_takes_batches(spark):
+    url = tables.embedded_database(spark)
+    tables.bulk_load(spark.range(12_000).withColumnRenamed("id", "N"), url, "numbers")
+    back = tables.jdbc(spark, url, "SELECT * FROM numbers WHERE \"N\" >= 10", "N", 0, 12_000, 3)
+    assert back.count() == 11_990 and back.rdd.getNumPartitions() == 3
+
+
+def test_declared_key_is_not_null(spark):
+    declared = tables.schema({"id": "int", "name": "text"}, primary_key="id")
+    with pytest.raises(Exception, match="NOT_NULL|None|null"):
+        spark.createDataFrame([(None, "x")], declared).collect()

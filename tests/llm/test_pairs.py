@@ -66,7 +66,22 @@ def test_join_edge_cases(spark):
     got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.join(df).collect())
     assert got == Counter({(1, 1, 2): 2, (None, 1, 2): 1, (None, None, 0): 1, (2, 2, 0): 1})
     assert jaccard.join(df.limit(0)).count() == 0
-    assert sorted((r.doc_id or 0) for r in jaccard.keep_one(df).collect()) == [0, 0, 1, 2]  # rows without a key stay
+    # a row without a key stays where its class has no other
+    assert sorted((r.doc_id or 0, r.text) for r in jaccard.keep_one(df).collect() if r.text) == [(0, "lone text of a few words"), (1, "a b c d e f")]
+
+
+def test_one_row_of_each_class_stays(spark):
+    a, b = " ".join(words(40, 1)), " ".join(words(40, 2))
+    rows = [(1, a, 2), (5, a, 1), (5, b, 1), (7, b + " more", 1), (None, b, 1), (None, "x " + a, 1), (8, a, 0), (1, a, 1), (9, None, 1), (9, None, 1), (None, "", 1), (None, "\u2003", 1)]
+    df = staged(spark.createDataFrame(rows, "doc_id long, text string, n int"), "classes")
+    got = Counter(tuple(r) for r in jaccard.keep_one(df).collect())
+    assert got == Counter([(1, a, 1), (5, b, 1), (9, None, 1), (9, None, 1), (None, "", 1), (None, "\u2003", 1)])
+
+
+def test_join_of_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    df = staged(spark.createDataFrame([(1, long), (2, long + " end"), (3, long[: len(long) // 2])], "doc_id long, text string"), "long")
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.join(df).collect()) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
 
 
 def test_both_ways_of_verifying_agree():

@@ -106,7 +106,8 @@ QUERIES = {
     )
 }
 
-#: The others are not plain SQL over the tables, or too slow in it; tests/llm holds each against a brute-force version.
+#: The others are not plain SQL over the tables, or too slow in it. tests/llm holds each against a brute-force version, but
+#: for op1, whose random order has only laws to hold, and the fits of op2 and op10, whose counts and sums are held so.
 ORACLE_SQL: dict[str, str] = {
     "op9_warc": """
 WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),

@@ -47,7 +47,8 @@ def shard(docs: DataFrame, shards: int, seed: int = 17, text: str = "text", buck
     before = lambda w: F.coalesce(F.sum(rows).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = counted.groupBy(run).agg(F.sum(rows).alias(rows)).select(run, before(Window.orderBy(run)).alias("_first"))
     begins = counted.withColumn(first, before(Window.partitionBy(run).orderBy(bucket))).join(runs, run)
-    begins = begins.select(bucket, (F.col(first) + F.col("_first")).alias(first))
+    # a row for each bucket, written so that Spark knows its size and moves the records only if it is large
+    begins = staged(begins.select(bucket, (F.col(first) + F.col("_first")).alias(first)), "begins", small=True)
     held = drawn.count()
     placed = drawn.join(begins, bucket)
     total = f"(`{first}` + `{at}`)"

@@ -126,23 +126,23 @@ class Model:
         return 0.998 * float(np.interp(x, *self.curve)) + 0.002 / (1 + math.exp(-max(-50.0, min(50.0, 4 * x))))
 
 
-def tied_models(own: dict[str, tuple[int, int]], totals: tuple[int, int], pairs: list[tuple[str, str, int, int, int, int, int]]) -> Model:
+def tied_models(own: dict[str, tuple[int, int]], totals: tuple[int, int], types: tuple[int, int], pairs: list[tuple]) -> Model:
     """The ratios of both models from their counts.
 
     `own`: contexts in the toxic and the ordinary class of each word, and of each class of words (a stem and `~`), with
-    counts of its own; `totals`: those of all words. `pairs`: head, tail, contexts of the pair in both classes, those of
-    all pairs with the head in both, and the tail's contexts in all. Both totals must be above zero.
+    counts of its own; `totals`: those of all words; `types`: how many of the other words each class has. `pairs`: head,
+    tail, contexts of the pair in both classes, contexts and number of all pairs with the head in both, and the tail's
+    contexts in all. Both totals must be above zero.
     """
-    both, seen = sum(totals), [sum(1 for x in own.values() if x[c]) for c in (0, 1)]
+    both, seen = sum(totals), [types[c] + sum(1 for x in own.values() if x[c]) for c in (0, 1)]
     rest = tuple(totals[c] - sum(x[c] for x in own.values()) for c in (0, 1))
 
-    def chance(n: tuple[int, int], c: int, tied: bool = False) -> float:
+    def chance(n: tuple[int, int], c: int, discount: float = DISCOUNT) -> float:
         """Of a word or class of words: its discounted contexts, and its part, by the shared counts, of all that was discounted."""
-        kept = n[c] if tied else max(n[c] - DISCOUNT, 0)
-        return (kept + DISCOUNT * seen[c] * sum(n) / both) / totals[c]
+        return (max(n[c] - discount, 0) + DISCOUNT * seen[c] * sum(n) / both) / totals[c]
 
     p = {u: (chance(n, 0), chance(n, 1)) for u, n in own.items()}
-    p[""] = tuple(max(chance(rest, c, True), 1e-12) for c in (0, 1))
+    p[""] = tuple(max(chance(rest, c, DISCOUNT * types[c]), 1e-12) for c in (0, 1))
 
     def part_of(w: str) -> str:
         return w if w in own else next((f"{w[:n]}~" for n in STEMS if len(w) > n and f"{w[:n]}~" in own), "")
@@ -154,11 +154,10 @@ def tied_models(own: dict[str, tuple[int, int]], totals: tuple[int, int], pairs:
     after: dict[str, float] = {}
     for head, rows in heads.items():
         given, backed = [0.0, 0.0], [0.0, 0.0]
-        for _, tail, a, b, m, n, alone in rows:
+        for _, tail, a, b, m, n, s, t, alone in rows:
             unit, chances = part_of(tail), []
-            for c, (x, of) in enumerate(((a, m), (b, n))):
+            for c, (x, of, gave) in enumerate(((a, m, s), (b, n, t))):
                 back = p[unit][c] * (1 if unit == tail else alone / max(sum(own.get(unit, rest)), 1))
-                gave = sum(1 for r in rows if r[2 + c])
                 chances.append((max(x - DISCOUNT, 0) + DISCOUNT * gave * back) / of if of else back)
                 given[c] += chances[c]
                 backed[c] += back
@@ -224,11 +223,12 @@ def learn(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS) -> M
     named = named.withColumn("own", F.coalesce(*(f"w{k}" for k in range(len(STEMS) + 1))))
     own = {r["own"]: (r["a"], r["b"]) for r in named.filter("own is not null").groupBy("own").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}
     two = units.filter("sort = 'pair'").withColumn("head", F.substring_index("unit", " ", 1)).withColumn("tail", F.substring_index("unit", " ", -1))
-    heads = two.groupBy("head").agg(F.sum("a").alias("m"), F.sum("b").alias("n"))
+    types = named.filter("own is null").agg(F.count(F.when(a > 0, 1)), F.count(F.when(b > 0, 1))).first()
+    heads = two.groupBy("head").agg(F.sum("a").alias("m"), F.sum("b").alias("n"), F.count(F.when(a > 0, 1)).alias("s"), F.count(F.when(b > 0, 1)).alias("t"))
     tails = single.select(F.col("unit").alias("tail"), (a + b).alias("alone"))
     # a head of one class only tells nothing of its pairs beyond what the word itself does
     two = two.join(heads.filter("m > 0 and n > 0"), "head").filter(evidence(a, F.col("m"), b, F.col("n")) >= LEAST_EVIDENCE).join(tails, "tail")
-    model = tied_models(own, (m, n), sorted(tuple(r) for r in two.select("head", "tail", "a", "b", "m", "n", "alone").collect()))
+    model = tied_models(own, (m, n), tuple(types), sorted(tuple(r) for r in two.select("head", "tail", "a", "b", "m", "n", "s", "t", "alone").collect()))
     known = [r for r in ratios(rows, model).collect() if r["x"] is not None]  # about learn_rows rows of each class
     apart = [r for r in known if r["apart"]]
     apart = apart if len({r["toxic"] for r in apart}) == 2 else known  # too few rows for a fold with both classes

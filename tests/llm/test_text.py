@@ -1,6 +1,7 @@
 """BPE, packing, sharding."""
 
 import base64
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -162,3 +163,28 @@ def test_write_shards(spark, tmp_path):
     back = spark.read.parquet(f"file://{tmp_path}/s")
     assert back.groupBy("shard").count().filter("count = 20").count() == 5
     assert back.agg(F.count_distinct("doc_id")).first()[0] == 100
+
+
+def test_digests_of_the_query_like_the_known_library(spark, known):
+    from granary.llm.queries import op4_byte_bpe
+
+    folder = "/root/testdata/sf0.001"
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op4_byte_bpe(spark, folder).collect()}
+    hexed = lambda data: hashlib.sha256(data).hexdigest()
+    for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        ids = known.encode_ordinary(r.text or "")
+        assert got.pop(r.doc_id) == (len(ids), hexed(" ".join(map(str, ids)).encode()), hexed((r.text or "").encode()))
+    assert not got
+
+
+def test_law_of_the_sharding_query(spark):
+    from granary.llm.queries import SHARDS, op1_sharding
+
+    folder = "/root/testdata/sf0.01"
+    got = op1_sharding(spark, folder).collect()
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert {r.doc_id: (r.size, r.text_crc32) for r in got} == {i: (len(t) + 16, zlib.crc32(t)) for i, t in texts.items()} and len(got) == len(texts)
+    counts = Counter(r.shard for r in got)
+    assert set(counts) == set(range(SHARDS)) and max(counts.values()) - min(counts.values()) <= 1
+    assert sorted((r.shard, r.slot) for r in got) == sorted((s, i) for s, n in counts.items() for i in range(n))
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}

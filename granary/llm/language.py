@@ -44,7 +44,7 @@ UNKNOWN = "und"
 #: Numerals are word characters, but no letters.
 NUMERALS = "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if chr(c).isnumeric() and unicodedata.category(chr(c))[0] == "N" and not chr(c).isdecimal())
 find_words = re.compile(r"[^\W\d_]+").findall
-has_numerals = re.compile(f"[{NUMERALS}]").search
+NUMERAL_SET = frozenset(re.sub(r"\\(.)", r"\1", NUMERALS))
 find_letters = re.compile(rf"[^\W\d_{NUMERALS}]+").findall
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -53,7 +53,7 @@ def words(text: str) -> list[str]:
     """Runs of letters (Unicode category L)."""
     text = text.lower()
     # the class with all numerals is slow, and few texts have any
-    return find_letters(text) if not text.isascii() and has_numerals(text) else find_words(text)
+    return find_letters(text) if not text.isascii() and not NUMERAL_SET.isdisjoint(text) else find_words(text)
 
 
 def hashed(columns: list[np.ndarray], order: int) -> np.ndarray:

@@ -34,8 +34,8 @@ K1, B = 1.2, 0.75
 SHARD, SHARD_CHARS = 4096, 20_000_000
 BLOCK = 128
 #: Terms of the queries that a pass over the shards answers, about, and queries that move together.
-PASS_TERMS = 4 << 20
-TOGETHER = 512
+PASS_TERMS = 2 << 20
+TOGETHER = 128
 #: Common terms by which documents are put in order, and into so many parts, each in the order of lengths.
 LEADING = 64
 PARTS = 16
@@ -147,7 +147,7 @@ class Queries:
 
     def __init__(self, numbers: np.ndarray, names: np.ndarray, terms: np.ndarray, weights: np.ndarray, ends: np.ndarray, floor: np.ndarray, k: int):
         self.numbers, self.names, self.terms, self.weights, self.floor = numbers, names, terms, weights, floor
-        self.owner = np.repeat(np.arange(len(numbers)), np.diff(ends))
+        self.owner = np.repeat(np.arange(len(numbers), dtype=np.int32), np.diff(ends))
         self.best = np.zeros((len(numbers), k))
         self.found = np.full((len(numbers), k), -1, np.int64)
 
@@ -184,10 +184,11 @@ class Shard:
         # the blocks of all lists, list after list, each with its largest score and its first posting
         at = np.repeat(np.arange(len(count)), count) * self.blocks + self.posts // BLOCK
         self.first = np.flatnonzero(np.diff(at, prepend=-1))
-        self.key = at[self.first]
+        key = at[self.first]
+        self.number = (key % max(self.blocks, 1)).astype(np.int32)
         self.most = np.maximum.reduceat(self.gain, self.first) if len(self.first) else np.zeros(0)
         self.first = np.append(self.first, len(self.posts))
-        self.begin = np.searchsorted(self.key, np.arange(len(count) + 1) * self.blocks)
+        self.begin = np.searchsorted(key, np.arange(len(count) + 1) * self.blocks)
         self.top = np.maximum.reduceat(self.most, self.begin[:-1]) if len(count) else np.zeros(0)
         # lists that have a posting nearly everywhere keep their blocks as rows, which many queries read at once
         common = np.flatnonzero(count > max(BLOCK / 2, self.n * COMMON))
@@ -217,15 +218,21 @@ class Shard:
         slot, owner, weight = slot[row < 0], owner[row < 0], weight[row < 0]
         # the blocks of the other lists, by their number: those of a block are met when the queries come there
         size = self.begin[slot + 1] - self.begin[slot]
-        entry = np.repeat(self.begin[slot] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        line = np.repeat(np.arange(len(slot)), size)
-        number = self.key[entry] - slot[line] * self.blocks
-        order = np.argsort(number.astype(np.uint16), kind="stable")
+        entry = np.repeat((self.begin[slot] - (np.cumsum(size) - size)).astype(np.int32), size) + np.arange(size.sum(), dtype=np.int32)
+        line = np.repeat(np.arange(len(slot), dtype=np.int32), size)
+        order = np.argsort(self.number[entry], kind="stable")
         entry, line = entry[order], line[order]
-        edge = np.searchsorted(number[order], np.arange(self.blocks + 1))
+        del order
+        number = self.number[entry]
+        edge = np.searchsorted(number, np.arange(self.blocks + 1))
         # what the lists with a posting in a block could add by their largest scores, summed over the blocks up to each; a
         # list that is met in several blocks counts in each of them, which errs on the safe side
-        could = np.bincount(owner[line] * self.blocks + number[order], (weight * self.top[slot])[line], m * self.blocks).reshape(m, self.blocks).cumsum(1)
+        could = np.zeros((m, self.blocks))
+        most = weight * self.top[slot]
+        for b in range(self.blocks):
+            some = line[edge[b] : edge[b + 1]]
+            could[:, b] = np.bincount(owner[some], most[some], m)
+        could = could.cumsum(1)
 
         def pivots(who: np.ndarray, after: int, least: np.ndarray) -> np.ndarray:
             """The first block after `after` up to which the queries `who` could reach their thresholds, or past the last."""

@@ -25,8 +25,9 @@ from . import bpe
 from .common import discard, fresh, staged
 from .components import components
 
-#: Sets in a block, about.
+#: Sets in a block, about, and n-grams of its sets, unless one set alone has more.
 BLOCK = 256
+BLOCK_GRAMS = 1 << 20
 #: Blocks beyond which a cluster is verified bucket by bucket.
 LARGE = 16
 COLUMNS = 4096
@@ -87,8 +88,8 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int, seed: int = 3) -> np.n
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """key, digest (of the text), gram_set (digest of the set, null without words), bands."""
-    schema = T.StructType([docs.schema[key], T.StructField("digest", T.StringType()), T.StructField("gram_set", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """key, digest (of the text), gram_set (digest of the set, null without words), n_grams, bands."""
+    schema = T.StructType([docs.schema[key], T.StructField("digest", T.StringType()), T.StructField("gram_set", T.BinaryType()), T.StructField("n_grams", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +97,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, bands: int, rows
                 sets = ngram_sets(texts, size)
                 names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 hashes = [band_hashes(s, bands, rows) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], schema.names)
 
     return docs.select(docs[key], F.md5(F.coalesce(docs[text], F.lit(""))).alias("_digest"), docs[text].alias("_text")).mapInArrow(run, schema)
 
@@ -207,16 +208,17 @@ def linked(docs: DataFrame, key: str, text: str = "text", size: int = 5, thresho
     sets = signed.filter(F.col("gram_set").isNotNull()).groupBy("gram_set").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "digest")).alias("first"))
     sets = staged(sets, "sets")
     ones = staged(signed.join(sets.select("node", "copies"), "node"), "ones")
-    spread = ones.select("node", F.posexplode("bands").alias("band", "hash"))
-    heads = spread.groupBy("band", "hash").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks")
+    spread = ones.select("node", "n_grams", F.posexplode("bands").alias("band", "hash"))
+    heads = spread.groupBy("band", "hash").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"), blocks).filter("n > 1")
     ties = spread.join(heads, ["band", "hash"]).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     clusters = components(ties)
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = clusters.join(ones.select("node", "n_grams"), "node").groupBy("root").agg(blocks)
     dealt = staged(clusters.join(sizes, "root"), "dealt")
     # the groups in which a node meets others: its cluster's pairs of blocks, or those of its buckets
     small = dealt.filter(F.col("blocks") <= LARGE).select("node", F.col("root").alias("group"), F.lit(-1).alias("band"), "blocks")
-    buckets = spread.join(dealt.filter(F.col("blocks") > LARGE).select("node"), "node").join(heads, ["band", "hash"])
-    large = buckets.select("node", F.xxhash64("band", "hash").alias("group"), "band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    buckets = spread.drop("n_grams").join(dealt.filter(F.col("blocks") > LARGE).select("node"), "node").join(heads, ["band", "hash"])
+    large = buckets.select("node", F.xxhash64("band", "hash").alias("group"), "band", "blocks")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     places = small.unionAll(large).withColumn("block", block)
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct("group", "band", "block", F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))

@@ -47,9 +47,10 @@ def brute(texts):
     return [len(x) for x in links], root
 
 
-@pytest.mark.parametrize("block, large", [(256, 16), (16, 16), (16, 0)])
-def test_join_by_brute_force(spark, monkeypatch, block, large):
+@pytest.mark.parametrize("block, grams, large", [(256, 1 << 20, 16), (16, 1 << 20, 16), (16, 1 << 20, 0), (256, 1000, 16), (256, 1000, 2)])
+def test_join_by_brute_force(spark, monkeypatch, block, grams, large):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", grams)
     monkeypatch.setattr(jaccard, "LARGE", large)
     texts = corpus()
     df = staged(spark.createDataFrame([(i, t, i, "x", 0) for i, t in enumerate(texts)], "doc_id long, text string, node long, gram_set string, root int").repartition(3), "corpus")

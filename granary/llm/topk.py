@@ -1,11 +1,14 @@
 """Exact top-k search by BM25: an inverted index per shard, searched by block-max WAND.
 
 Every shard of documents has an inverted index of its own. Its documents lie in an order in which similar ones are
-neighbours, and each term's posting list is cut into blocks of BLOCK documents, of which the index knows the largest
-score. A query moves over the blocks; its pivot is the next block up to which the lists that have a posting on the way
-could, by their whole lists' largest scores, reach the k-th best score found so far, and it skips all blocks before that.
-At the pivot the largest scores of the lists' blocks there are added: only if these reach the threshold as well are the
-postings of the block read. Many queries move together, and all their cursors on a block are taken at once.
+neighbours, in blocks of BLOCK documents. Short lists have about one posting in a block that they touch, so their largest
+score there is the posting itself: they are read once, and what they add to each document is the exact bound of theirs
+for a block. Long lists know the largest score of each of their blocks. A query moves over the blocks; its pivot is the
+next block where what the short lists have there and the long ones' largest scores of all could reach the k-th best
+score found so far, and it skips all blocks before that. At the pivot the long lists' largest scores in the block are
+added: only if these reach the threshold as well are their postings of the block read. Many queries move together, and
+several blocks of theirs are multiplied at once, in single precision with a bound on its error; the few documents that
+may count by that are then summed in double precision.
 
 Document frequencies, the number of documents and their mean length are those of all shards, so scores of different
 shards compare, and merging the shards' best k is exact.
@@ -33,13 +36,17 @@ K1, B = 1.2, 0.75
 #: Documents, and characters, in a shard at most, but for what one slice of texts holds.
 SHARD, SHARD_CHARS = 4096, 20_000_000
 BLOCK = 128
-#: Terms of the queries that a pass over the shards answers, about, and queries that move together.
+#: Terms of the queries that a pass over the shards answers, about; queries that move together; shards of a task.
 PASS_TERMS = 2 << 20
-TOGETHER = 128
+TOGETHER = 256
+READ = 8
+#: Blocks that are scored together, and postings of short lists that are added together.
+SPAN = 8
+PORTION = 1 << 18
 #: Common terms by which documents are put in order, and into so many parts, each in the order of lengths.
 LEADING = 64
 PARTS = 16
-#: A list of more than this part of a shard's documents keeps its blocks as rows of scores.
+#: A list of more than this part of a shard's documents is long: its blocks are rows of scores.
 COMMON = 1 / 24
 
 find_words = re.compile(r"[^\W_]+").findall
@@ -146,7 +153,10 @@ class Queries:
     """A block of queries: their terms one query after the other, with the weights of the terms, and the best found."""
 
     def __init__(self, numbers: np.ndarray, names: np.ndarray, terms: np.ndarray, weights: np.ndarray, ends: np.ndarray, floor: np.ndarray, k: int):
-        self.numbers, self.names, self.terms, self.weights, self.floor = numbers, names, terms, weights, floor
+        self.numbers, self.names, self.weights, self.floor = numbers, names, weights, floor
+        # each term is looked up once, in order, which is several times faster than where it comes
+        self.terms, self.term = np.unique(terms, return_inverse=True)
+        self.term = self.term.astype(np.int32)
         self.owner = np.repeat(np.arange(len(numbers), dtype=np.int32), np.diff(ends))
         self.best = np.zeros((len(numbers), k))
         self.found = np.full((len(numbers), k), -1, np.int64)
@@ -156,18 +166,18 @@ class Queries:
         return np.maximum(np.maximum(self.floor, np.where(self.found[:, -1] >= 0, self.best[:, -1], 0)) - 1e-7, 1e-12)
 
     def offer(self, who: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        """Puts documents that belong there into the best of the queries `who`, worst last; ties go to the smaller id."""
-        score = np.round(score, 9)
-        better = np.flatnonzero((score >= self.least()[who, None]).any(1))
-        if not len(better):
-            return
-        who, score, k = who[better], score[better], self.best.shape[1]
-        score[score <= 0] = -1
-        scores = np.concatenate([np.where(self.found[who] >= 0, self.best[who], -1), score], 1)
-        found = np.concatenate([self.found[who], np.broadcast_to(ids, score.shape)], 1)
-        kept = np.lexsort((found, -scores), axis=1)[:, :k]
-        self.best[who] = np.take_along_axis(scores, kept, 1)
-        self.found[who] = np.where(self.best[who] > 0, np.take_along_axis(found, kept, 1), -1)
+        """Puts documents into the best of the queries `who`, one for each, worst last; ties go to the smaller id."""
+        k, mine = self.best.shape[1], np.unique(who)
+        held = self.found[mine] >= 0
+        at = np.concatenate([np.repeat(mine, held.sum(1)), who])
+        score = np.concatenate([self.best[mine][held], np.round(score, 9)])
+        ids = np.concatenate([self.found[mine][held], ids])
+        order = np.lexsort((ids, -score, at))
+        at, score, ids = at[order], score[order], ids[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        keep = (rank < k) & (score > 0)
+        self.best[at[keep], rank[keep]] = score[keep]
+        self.found[at[keep], rank[keep]] = ids[keep]
 
 
 class Shard:
@@ -181,99 +191,124 @@ class Shard:
         self.posts, times = held["posts"], held["times"].astype(float)
         self.gain = times * (K1 + 1) / (times + length[self.posts])
         count = np.diff(self.ends)
-        # the blocks of all lists, list after list, each with its largest score and its first posting
-        at = np.repeat(np.arange(len(count)), count) * self.blocks + self.posts // BLOCK
-        self.first = np.flatnonzero(np.diff(at, prepend=-1))
-        key = at[self.first]
-        self.number = (key % max(self.blocks, 1)).astype(np.int32)
-        self.most = np.maximum.reduceat(self.gain, self.first) if len(self.first) else np.zeros(0)
-        self.first = np.append(self.first, len(self.posts))
-        self.begin = np.searchsorted(key, np.arange(len(count) + 1) * self.blocks)
-        self.top = np.maximum.reduceat(self.most, self.begin[:-1]) if len(count) else np.zeros(0)
-        # lists that have a posting nearly everywhere keep their blocks as rows, which many queries read at once
+        self.gain32 = self.gain.astype(np.float32)
+        self.top = np.maximum.reduceat(self.gain, self.ends[:-1]) if len(count) else np.zeros(0)
+        # long lists have a posting nearly everywhere and lie as rows, block after block, which many queries read at once
         common = np.flatnonzero(count > max(BLOCK / 2, self.n * COMMON))
-        self.row = np.full(len(count), -1)
+        self.row = np.full(len(count), -1, np.int32)
         self.row[common] = np.arange(len(common))
-        self.rows = np.zeros((len(common), self.blocks * BLOCK))
+        self.rows = np.zeros((len(common), self.blocks * BLOCK), np.float32)
         span = np.repeat(self.ends[common] - np.cumsum(count[common]) + count[common], count[common]) + np.arange(count[common].sum())
         self.rows[np.repeat(np.arange(len(common)), count[common]), self.posts[span]] = self.gain[span]
         self.row_most = self.rows.reshape(len(common), self.blocks, BLOCK).max(2)
         self.row_count = (self.rows.reshape(len(common), self.blocks, BLOCK) > 0).sum(2)
+        # the postings document by document; 16 bits are sorted several times faster
+        by = np.argsort(self.posts.astype(np.uint16) if self.n < 1 << 16 else self.posts, kind="stable")
+        self.held, self.held_gain = np.repeat(np.arange(len(count), dtype=np.int32), count)[by], self.gain[by]
+        self.held_ends = np.searchsorted(self.posts[by], np.arange(self.n + 1))
+        self.weight = np.zeros(len(count))  # of one query's terms at a time
         self.read = self.all = 0  # postings of the queries' lists that were read, and all of them
 
     def search(self, q: Queries) -> None:
         """Finds this shard's documents that belong into the queries' best."""
-        slot = np.searchsorted(self.terms, q.terms)
-        here = np.flatnonzero(slot < len(self.terms))
-        here = here[self.terms[slot[here]] == q.terms[here]]
-        slot, owner, weight = slot[here], q.owner[here], q.weights[here]
+        place = np.searchsorted(self.terms, q.terms)
+        place[place == len(self.terms)] = 0
+        place = np.where(self.terms[place] == q.terms, place, -1)[q.term] if len(self.terms) else np.full(len(q.term), -1)
+        here = np.flatnonzero(place >= 0)
+        slot, owner, weight = place[here], q.owner[here], q.weights[here]
         if not len(slot):
             return
-        self.all += int((self.ends[slot + 1] - self.ends[slot]).sum())
-        m, row = len(q.numbers), self.row[slot]
-        asks = np.zeros((m, len(self.rows)))
-        asks[owner[row >= 0], row[row >= 0]] = weight[row >= 0]
-        begun = asks @ self.row_most.max(1, initial=0)  # what the lists that are nearly everywhere could add
-        at_most = asks @ self.row_most
-        slot, owner, weight = slot[row < 0], owner[row < 0], weight[row < 0]
-        # the blocks of the other lists, by their number: those of a block are met when the queries come there
-        size = self.begin[slot + 1] - self.begin[slot]
-        entry = np.repeat((self.begin[slot] - (np.cumsum(size) - size)).astype(np.int32), size) + np.arange(size.sum(), dtype=np.int32)
-        line = np.repeat(np.arange(len(slot), dtype=np.int32), size)
-        order = np.argsort(self.number[entry], kind="stable")
-        entry, line = entry[order], line[order]
-        del order
-        number = self.number[entry]
-        edge = np.searchsorted(number, np.arange(self.blocks + 1))
-        # what the lists with a posting in a block could add by their largest scores, summed over the blocks up to each; a
-        # list that is met in several blocks counts in each of them, which errs on the safe side
-        could = np.zeros((m, self.blocks))
-        most = weight * self.top[slot]
-        for b in range(self.blocks):
-            some = line[edge[b] : edge[b + 1]]
-            could[:, b] = np.bincount(owner[some], most[some], m)
-        could = could.cumsum(1)
-
-        def pivots(who: np.ndarray, after: int, least: np.ndarray) -> np.ndarray:
-            """The first block after `after` up to which the queries `who` could reach their thresholds, or past the last."""
-            passed = could[who, after] if after >= 0 else np.zeros(len(who))
-            enough = begun[who, None] + could[who, after + 1 :] - passed[:, None] >= least[who, None]
-            return np.where(enough.any(1), after + 1 + enough.argmax(1), self.blocks) if enough.shape[1] else np.full(len(who), self.blocks)
-
-        pivot = pivots(np.arange(m), -1, q.least())
-        for b in range(self.blocks):
-            here = pivot == b
-            if not here.any():
+        m, k, count = len(q.numbers), q.best.shape[1], self.ends[slot + 1] - self.ends[slot]
+        self.all += int(count.sum())
+        # queries whose lists' largest scores do not reach their thresholds have nothing to find here
+        mine = (np.bincount(owner, weight * self.top[slot], m) >= q.least())[owner]
+        if not mine.all():
+            slot, owner, weight, count = slot[mine], owner[mine], weight[mine], count[mine]
+        begin, row = np.searchsorted(owner, np.arange(m + 1)), self.row[slot]
+        far = row >= 0
+        cols, col = np.unique(row[far], return_inverse=True)
+        asks = np.zeros((m, len(cols)), np.float32)
+        asks[owner[far], col] = weight[far]
+        rows = self.rows[cols]
+        # what a 32-bit sum of so many positive products may lack or exceed, as a part of it, with room to spare
+        sure = 1 + (np.diff(begin) + 32) * 2.0**-23
+        begun = asks @ self.row_most[cols].max(1, initial=0) * sure  # what the long lists could add anywhere
+        at_most = asks @ self.row_most[cols] * sure[:, None]  # and in each block
+        near = self._short(owner[~far], slot[~far], weight[~far], count[~far], m)
+        near_most = near.reshape(m, self.blocks, BLOCK).max(2) * sure[:, None]
+        # the short lists alone are a lower bound, from which a query that has no threshold yet takes one
+        floor = np.zeros(m)
+        new = np.flatnonzero(q.least() <= 1e-12)
+        if k <= self.n and len(new):
+            floor[new] = np.partition(near[new, : self.n], -k, axis=1)[:, -k] / sure[new] - 1e-7
+        hits = []
+        for b in range(0, self.blocks, SPAN):
+            least = np.maximum(q.least(), floor)
+            # the pivot: the next block where the long lists' largest scores and what the short ones have there would do
+            pivot = begun[:, None] + near_most[:, b : b + SPAN] >= least[:, None]
+            go = pivot & (at_most[:, b : b + SPAN] + near_most[:, b : b + SPAN] >= least[:, None])
+            who = np.flatnonzero(go.any(1))
+            if not len(who):
                 continue
-            some = slice(edge[b], edge[b + 1])
-            mine = here[owner[line[some]]]
-            e, of = entry[some][mine], line[some][mine]
-            bound = at_most[:, b] + np.bincount(owner[of], weight[of] * self.most[e], m)
-            least = q.least()
-            go = here & (bound >= least)
-            if go.any():
-                mine = go[owner[of]]
-                self._score(q, b, go, asks, e[mine], owner[of[mine]], weight[of[mine]])
-                least = q.least()
-            who = np.flatnonzero(here)
-            pivot[who] = b + 1
-            low = who[begun[who] < least[who]]
-            pivot[low] = pivots(low, b, least)
-
-    def _score(self, q: Queries, b: int, go: np.ndarray, asks: np.ndarray, entry: np.ndarray, owner: np.ndarray, weight: np.ndarray) -> None:
-        """Reads the postings of block `b` for the queries that `go` there."""
-        who = np.flatnonzero(go)
-        first, width = b * BLOCK, min(BLOCK, self.n - b * BLOCK)
-        rows = self.rows[:, first : first + width]
-        # rows of most queries are cheaper to multiply than to copy
-        score = (asks @ rows)[who] if 2 * len(who) > len(go) else asks[who] @ rows
-        start, count = self.first[entry], self.first[entry + 1] - self.first[entry]
-        at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        local = np.cumsum(go) - 1
-        place = np.repeat(local[owner] * width - first, count) + self.posts[at]
-        score += np.bincount(place, np.repeat(weight, count) * self.gain[at], score.size).reshape(score.shape)
-        self.read += int(count.sum()) + int(((asks[who] > 0) @ self.row_count[:, b]).sum())
-        q.offer(who, score, self.ids[first : first + width])
+            first, last = b + int(go.any(0).argmax()), b + go.shape[1] - int(go.any(0)[::-1].argmax())
+            docs = slice(first * BLOCK, min(last * BLOCK, self.n))
+            some = slice(None) if len(who) == m else who
+            score = asks[some] @ rows[:, docs]
+            score += near[some, docs]
+            self.read += int(((asks[some] > 0) @ self.row_count[cols, first:last].sum(1)).sum())
+            least = least[who] / sure[who]
+            hit = score >= least[:, None].astype(np.float32)
+            many = np.flatnonzero(np.count_nonzero(hit, axis=1) > k)
+            if len(many):
+                most = np.partition(score[many], -k, axis=1)[:, -k] / sure[who[many]] ** 2 - 1e-7
+                floor[who[many]] = np.maximum(floor[who[many]], most)
+                hit[many] = score[many] >= np.maximum(most, least[many])[:, None].astype(np.float32)
+            at, doc = np.nonzero(hit)
+            hits.append((who[at], doc + docs.start, score[at, doc]))
+        if not sum(len(x[0]) for x in hits):
+            return
+        at, doc, score = (np.concatenate(x) for x in zip(*hits))
+        order = np.lexsort((-score, at))
+        at, doc, score = at[order], doc[order], score[order]
+        # what k others surely exceed needs no closer look
+        last = np.searchsorted(at, at) + k - 1
+        kth = np.minimum(last, len(at) - 1)
+        keep = (at[kth] != at) | (last >= len(at)) | (score >= score[kth] / sure[at] ** 2 - 1e-7)
+        at, doc = at[keep], doc[keep]
+        q.offer(at, self._exact(at, doc, begin, slot, weight), self.ids[doc])
+
+    def _short(self, owner: np.ndarray, slot: np.ndarray, weight: np.ndarray, count: np.ndarray, m: int) -> np.ndarray:
+        """What the short lists add to each document for each of the `m` queries, PORTION postings together or a query's."""
+        width = self.blocks * BLOCK
+        near = np.zeros((m, width), np.float32)
+        total, edge = np.concatenate([[0], np.cumsum(count)]), np.searchsorted(owner, np.arange(m + 1))
+        self.read += int(total[-1])
+        start, weight, i = self.ends[slot] - total[:-1], weight.astype(np.float32), 0
+        while i < m:
+            j = max(i + 1, int(np.searchsorted(total[edge], total[edge[i]] + PORTION, "right")) - 1)
+            lo, hi = edge[i], edge[j]
+            at = np.repeat(start[lo:hi], count[lo:hi])
+            at += np.arange(total[lo], total[hi])
+            value = np.repeat(weight[lo:hi], count[lo:hi])
+            value *= self.gain32.take(at, mode="clip")  # which is faster, and all are in range
+            place = np.repeat((owner[lo:hi] - i).astype(np.int64) * width, count[lo:hi])
+            place += self.posts.take(at, mode="clip")
+            np.add.at(near[i:j].reshape(-1), place, value)
+            i = j
+        return near
+
+    def _exact(self, who: np.ndarray, doc: np.ndarray, begin: np.ndarray, slot: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The scores of documents for queries, one for each, in double precision; `who` is in order. They are summed over
+        a document's terms by their hashes, so copies have the same score in every shard."""
+        out, edge = np.empty(len(who)), np.append(np.flatnonzero(np.diff(who, prepend=-1)), len(who))
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            mine = slice(begin[who[lo]], begin[who[lo] + 1])
+            self.weight[slot[mine]] = weight[mine]
+            for i in range(lo, hi):
+                held = slice(self.held_ends[doc[i]], self.held_ends[doc[i] + 1])
+                out[i] = self.weight[self.held[held]] @ self.held_gain[held]
+            self.weight[slot[mine]] = 0
+        return out
 
 
 def stored(folder: str) -> Iterator[pa.Table]:
@@ -289,19 +324,23 @@ def opened(folder: str, floors: str | None, k: int) -> list[Queries]:
     least: dict[int, float] = {}
     for part in stored(floors) if floors else ():
         least.update(zip(part.column("number").to_pylist(), part.column("least").to_pylist()))
-    out, rows = [], []
-
-    def closed() -> Queries:
-        numbers, names, terms, weights = zip(*rows)
-        return Queries(np.array(numbers), np.array(names), np.concatenate(terms).view(np.uint64), np.concatenate(weights), np.cumsum([0, *map(len, terms)]), np.array([least.get(n, 0.0) for n in numbers]), k)
-
+    rows = []
     for part in stored(folder):
         for number, name, terms, weights in zip(*(part.column(c) for c in ("number", "query_id", "terms", "weights"))):
             rows.append((number.as_py(), name.as_py(), terms.values.to_numpy(zero_copy_only=False), weights.values.to_numpy(zero_copy_only=False)))
-            if len(rows) == TOGETHER:
-                out.append(closed())
-                rows.clear()
-    return [*out, closed()] if rows else out
+    if not rows:
+        return []
+    # queries of one language ask for the same long lists, so they come together, as documents do
+    term, size = pd.factorize(np.concatenate([r[2] for r in rows]))[0], np.array([len(r[2]) for r in rows])
+    order = similar_order(term, np.repeat(np.arange(len(rows)), size), np.ones(len(term)), size)
+    del term
+    out = []
+    for at in range(0, len(rows), TOGETHER):
+        numbers, names, terms, weights = zip(*(rows[i] for i in order[at : at + TOGETHER]))
+        out.append(Queries(np.array(numbers), np.array(names), np.concatenate(terms).view(np.uint64), np.concatenate(weights), np.cumsum([0, *map(len, terms)]), np.array([least.get(n, 0.0) for n in numbers]), k))
+        for i in order[at : at + TOGETHER]:
+            rows[i] = None
+    return out
 
 
 def searcher(folder: str, floors: str | None, mean: float, k: int):
@@ -350,15 +389,17 @@ def search(docs: DataFrame, every: int, k: int = 10, key: str = "doc_id", text:
     whole = whole.select("number", "query_id", F.col("both.term").alias("terms"), F.col("both.weight").alias("weights"), F.pmod(F.xxhash64("number"), F.lit(passes)).alias("pass"))
     folder = scratch(docs.sparkSession, "queries")
     whole.hint("rebalance").write.partitionBy("pass").parquet(folder)
+    # a task opens all queries of a pass, so it gets about READ shards at least where there are many
+    tasks = max(1, 6 * docs.sparkSession.sparkContext.defaultParallelism, held // READ)
     found = None
     for i in range(passes):
         mine = f"{folder}/pass={i}"
-        early = staged(shards.filter(first).mapInArrow(searcher(mine, None, mean, k), HITS), "hits", small=True)
+        early = staged(shards.filter(first).coalesce(tasks).mapInArrow(searcher(mine, None, mean, k), HITS), "hits", small=True)
         # what the first shards' k-th best scores already say, no other shard need beat again
         best = Window.partitionBy("number").orderBy(F.desc("score"), "doc_id")
         least = early.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select("number", F.col("score").alias("least"))
         least = staged(least, "floors", small=True)
-        late = staged(shards.filter(~first).mapInArrow(searcher(mine, _paths[least], mean, k), HITS), "hits", small=True)
+        late = staged(shards.filter(~first).coalesce(tasks).mapInArrow(searcher(mine, _paths[least], mean, k), HITS), "hits", small=True)
         discard(least)
         part = early.unionAll(late)
         found = part if found is None else found.unionAll(part)

@@ -239,3 +239,35 @@ def test_wand_skips_what_can_not_count(monkeypatch):
     for at, i in enumerate(ask):
         assert q.found[at].tolist() == [d for d, _ in bm25(docs, texts[i], 5)]
     assert 0 < shard.read < 0.7 * shard.all
+
+
+def test_topk_sums_few_scores_in_double_precision(monkeypatch):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 9) for i in range(3000)], k=rng.randrange(20, 120))) for _ in range(1500)]
+    texts[700:720] = texts[:20]  # ties
+    parts = [topk.term_counts(texts)]
+    shard = topk.Shard(topk.build(list(range(1500)), parts), parts[0][3].mean())
+    owner, term, times, lengths = parts[0]
+    held = Counter(term.tolist())
+    weight = np.array([math.log1p((1500 - held[t] + 0.5) / (held[t] + 0.5)) for t in term.tolist()])
+    gain = times * 2.2 / (times + 1.2 * (0.25 + 0.75 * lengths[owner] / lengths.mean()))
+    dense = np.zeros((1500, len(held)))
+    number = np.unique(term, return_inverse=True)[1]
+    dense[owner, number] = gain
+    ask = np.zeros((300, len(held)))
+    mine = owner < 300
+    ask[owner[mine], number[mine]] = weight[mine]
+    q = topk.Queries(np.arange(300), np.arange(300), term[mine], weight[mine], np.searchsorted(owner, np.arange(301)), np.zeros(300), 10)
+    looked, exact = [], shard._exact
+    monkeypatch.setattr(shard, "_exact", lambda who, *a: looked.append(len(who)) or exact(who, *a))
+    shard.search(q)
+    want = np.round(ask @ dense.T, 9)
+    for i in range(300):
+        best = np.lexsort((np.arange(1500), -want[i]))[:10]
+        assert q.found[i].tolist() == best.tolist() and q.best[i].tolist() == pytest.approx(want[i][best].tolist(), abs=2e-9)
+    assert sum(looked) < 0.02 * want.size and shard.rows.dtype == np.float32
+    looked.clear()
+    q.floor = want.max(1) + 1
+    shard.search(q)
+    assert sum(looked) == 0

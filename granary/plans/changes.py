@@ -170,7 +170,8 @@ def text_table(t: Tables):
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def jdbc_bulk_load(t: Tables):
-    # the database that comes with Spark, in the driver's memory; a server's address would stand in its place
+    # the database that comes with Spark, in the driver's memory, which on a cluster only the driver reads and writes; of a
+    # server, whose address would stand in its place, all executors do
     url = tables.embedded_database(t.spark)
     rows = t.nation.select("n_nationkey", "n_name", "n_regionkey")
     tables.bulk_load(rows, url, "nation")

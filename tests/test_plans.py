@@ -1,5 +1,11 @@
 """Plans that should be chosen."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +118,33 @@ def test_embedded_database_takes_batches(spark):
     assert back.count() == 11_990 and back.rdd.getNumPartitions() == 3
 
 
+def test_embedded_database_on_a_cluster(small, tmp_path):
+    home = tmp_path / "home"  # executors put their logs into a folder of Spark's home
+    home.mkdir()
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    code = f"""
+from pyspark.sql import SparkSession
+from granary import plans
+from granary.sources import tables
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "600m").config("spark.ui.enabled", "false").getOrCreate()
+got = sorted(map(tuple, plans.QUERIES["jdbc_bulk_load"](spark, {small!r}).collect()))
+assert got == sorted(map(tuple, tables.read(spark, {small!r}, "nation").select("n_nationkey", "n_name", "n_regionkey").collect())) and len(got) == 25
+url = tables.embedded_database(spark)
+rows = spark.range(600).selectExpr("id AS N", "if(id % 3 = 0, null, string(id)) AS S", "id / 4 AS D", "timestamp_seconds(id) AS T")
+tables.bulk_load(rows, url, "numbers", batch=250)
+tables.bulk_load(rows, url, "numbers", batch=250)
+back = tables.jdbc(spark, url, 'SELECT * FROM numbers WHERE "N" >= 10', "N", 0, 600, 3)
+assert back.rdd.getNumPartitions() == 3 and sorted(map(str, back.collect())) == sorted(map(str, rows.filter("N >= 10").collect()))
+print("all rows are back")
+spark.stop()
+"""
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable}
+    run = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "all rows are back" in run.stdout, run.stderr[-3000:]
+
+
 def test_declared_key_is_not_null(spark):
     declared = tables.schema({"id": "int", "name": "text"}, primary_key="id")
     with pytest.raises(Exception, match="NOT_NULL|None|null"):

@@ -36,10 +36,9 @@ K1, B = 1.2, 0.75
 #: Documents, and characters, in a shard at most, but for what one slice of texts holds.
 SHARD, SHARD_CHARS = 4096, 20_000_000
 BLOCK = 128
-#: Terms of the queries that a pass over the shards answers, about; queries that move together; shards of a task.
+#: Terms of the queries that a pass over the shards answers, about, and queries that move together.
 PASS_TERMS = 2 << 20
 TOGETHER = 256
-READ = 8
 #: Blocks that are scored together, and postings of short lists that are added together.
 SPAN = 8
 PORTION = 1 << 18
@@ -189,22 +188,23 @@ class Shard:
         self.blocks = -(-self.n // BLOCK)
         length = K1 * (1 - B + B * held["lengths"] / mean) if mean else np.full(self.n, K1)
         self.posts, times = held["posts"], held["times"].astype(float)
-        self.gain = times * (K1 + 1) / (times + length[self.posts])
+        gain = times * (K1 + 1) / (times + length[self.posts])
+        del times
         count = np.diff(self.ends)
-        self.gain32 = self.gain.astype(np.float32)
-        self.top = np.maximum.reduceat(self.gain, self.ends[:-1]) if len(count) else np.zeros(0)
+        self.gain = gain.astype(np.float32)
+        self.top = np.maximum.reduceat(gain, self.ends[:-1]) if len(count) else np.zeros(0)
         # long lists have a posting nearly everywhere and lie as rows, block after block, which many queries read at once
         common = np.flatnonzero(count > max(BLOCK / 2, self.n * COMMON))
         self.row = np.full(len(count), -1, np.int32)
         self.row[common] = np.arange(len(common))
         self.rows = np.zeros((len(common), self.blocks * BLOCK), np.float32)
         span = np.repeat(self.ends[common] - np.cumsum(count[common]) + count[common], count[common]) + np.arange(count[common].sum())
-        self.rows[np.repeat(np.arange(len(common)), count[common]), self.posts[span]] = self.gain[span]
+        self.rows[np.repeat(np.arange(len(common)), count[common]), self.posts[span]] = gain[span]
         self.row_most = self.rows.reshape(len(common), self.blocks, BLOCK).max(2)
         self.row_count = (self.rows.reshape(len(common), self.blocks, BLOCK) > 0).sum(2)
         # the postings document by document; 16 bits are sorted several times faster
         by = np.argsort(self.posts.astype(np.uint16) if self.n < 1 << 16 else self.posts, kind="stable")
-        self.held, self.held_gain = np.repeat(np.arange(len(count), dtype=np.int32), count)[by], self.gain[by]
+        self.held, self.held_gain = np.repeat(np.arange(len(count), dtype=np.int32), count)[by], gain[by]
         self.held_ends = np.searchsorted(self.posts[by], np.arange(self.n + 1))
         self.weight = np.zeros(len(count))  # of one query's terms at a time
         self.read = self.all = 0  # postings of the queries' lists that were read, and all of them
@@ -290,7 +290,7 @@ class Shard:
             at = np.repeat(start[lo:hi], count[lo:hi])
             at += np.arange(total[lo], total[hi])
             value = np.repeat(weight[lo:hi], count[lo:hi])
-            value *= self.gain32.take(at, mode="clip")  # which is faster, and all are in range
+            value *= self.gain.take(at, mode="clip")  # which is faster, and all are in range
             place = np.repeat((owner[lo:hi] - i).astype(np.int64) * width, count[lo:hi])
             place += self.posts.take(at, mode="clip")
             np.add.at(near[i:j].reshape(-1), place, value)
@@ -324,22 +324,26 @@ def opened(folder: str, floors: str | None, k: int) -> list[Queries]:
     least: dict[int, float] = {}
     for part in stored(floors) if floors else ():
         least.update(zip(part.column("number").to_pylist(), part.column("least").to_pylist()))
-    rows = []
+    parts = []
     for part in stored(folder):
-        for number, name, terms, weights in zip(*(part.column(c) for c in ("number", "query_id", "terms", "weights"))):
-            rows.append((number.as_py(), name.as_py(), terms.values.to_numpy(zero_copy_only=False), weights.values.to_numpy(zero_copy_only=False)))
-    if not rows:
+        held = part.combine_chunks()
+        terms, weights = (pa.concat_arrays(held.column(c).chunks) if held.num_rows else pa.array([], pa.list_(t)) for c, t in (("terms", pa.int64()), ("weights", pa.float64())))
+        parts.append((held.column("number").to_numpy(), held.column("query_id").to_numpy(), np.diff(terms.offsets.to_numpy()), terms.flatten().to_numpy(), weights.flatten().to_numpy()))
+    if not sum(len(p[0]) for p in parts):
         return []
-    # queries of one language ask for the same long lists, so they come together, as documents do
-    term, size = pd.factorize(np.concatenate([r[2] for r in rows]))[0], np.array([len(r[2]) for r in rows])
-    order = similar_order(term, np.repeat(np.arange(len(rows)), size), np.ones(len(term)), size)
-    del term
+    numbers, names, size, terms, weights = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    ends = np.concatenate([[0], np.cumsum(size)])
+    # queries of one language ask for the same long lists, so they come together, as documents do; any order is right
+    some, often = np.unique(terms[:: max(1, len(terms) >> 17)], return_counts=True)
+    lead = np.sort(some[np.argsort(-often, kind="stable")[:LEADING]])
+    at = np.flatnonzero(np.isin(terms, lead))
+    order = similar_order(np.searchsorted(lead, terms[at]), np.searchsorted(ends, at, "right") - 1, np.ones(len(at)), size)
     out = []
-    for at in range(0, len(rows), TOGETHER):
-        numbers, names, terms, weights = zip(*(rows[i] for i in order[at : at + TOGETHER]))
-        out.append(Queries(np.array(numbers), np.array(names), np.concatenate(terms).view(np.uint64), np.concatenate(weights), np.cumsum([0, *map(len, terms)]), np.array([least.get(n, 0.0) for n in numbers]), k))
-        for i in order[at : at + TOGETHER]:
-            rows[i] = None
+    for i in range(0, len(order), TOGETHER):
+        mine = order[i : i + TOGETHER]
+        of = np.concatenate([np.arange(ends[x], ends[x + 1]) for x in mine])
+        out.append(Queries(numbers[mine], names[mine], terms[of].view(np.uint64), weights[of], np.cumsum([0, *size[mine]]), np.array([least.get(n, 0.0) for n in numbers[mine].tolist()]), k))
     return out
 
 
@@ -354,6 +358,7 @@ def searcher(folder: str, floors: str | None, mean: float, k: int):
                 shard = Shard({c: batch.column(c)[i].as_py() for c in batch.schema.names}, mean)
                 for q in queries:
                     shard.search(q)
+                del shard  # before the next one is opened
         for q in queries or ():
             at, r = np.nonzero((q.found >= 0) & (q.best >= q.floor[:, None] - 1e-7))
             columns = q.numbers[at], q.names[at], q.found[at, r], q.best[at, r]
@@ -389,17 +394,15 @@ def search(docs: DataFrame, every: int, k: int = 10, key: str = "doc_id", text:
     whole = whole.select("number", "query_id", F.col("both.term").alias("terms"), F.col("both.weight").alias("weights"), F.pmod(F.xxhash64("number"), F.lit(passes)).alias("pass"))
     folder = scratch(docs.sparkSession, "queries")
     whole.hint("rebalance").write.partitionBy("pass").parquet(folder)
-    # a task opens all queries of a pass, so it gets about READ shards at least where there are many
-    tasks = max(1, 6 * docs.sparkSession.sparkContext.defaultParallelism, held // READ)
     found = None
     for i in range(passes):
         mine = f"{folder}/pass={i}"
-        early = staged(shards.filter(first).coalesce(tasks).mapInArrow(searcher(mine, None, mean, k), HITS), "hits", small=True)
+        early = staged(shards.filter(first).mapInArrow(searcher(mine, None, mean, k), HITS), "hits", small=True)
         # what the first shards' k-th best scores already say, no other shard need beat again
         best = Window.partitionBy("number").orderBy(F.desc("score"), "doc_id")
         least = early.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select("number", F.col("score").alias("least"))
         least = staged(least, "floors", small=True)
-        late = staged(shards.filter(~first).coalesce(tasks).mapInArrow(searcher(mine, _paths[least], mean, k), HITS), "hits", small=True)
+        late = staged(shards.filter(~first).mapInArrow(searcher(mine, _paths[least], mean, k), HITS), "hits", small=True)
         discard(least)
         part = early.unionAll(late)
         found = part if found is None else found.unionAll(part)
